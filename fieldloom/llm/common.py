@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ BLANKS = "\t\n\x0b\x0c\r "
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["BLANKS", "BLANK_RUN", "ascii_lower", "documents", "hashed_windows", "read_table", "row_key", "shared_dir", "split_words", "union_length"]
+__all__ = ["BLANKS", "BLANK_RUN", "ascii_lower", "documents", "hashed_windows", "read_table", "row_key", "shared_dir", "split_words", "stored", "union_length"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +57,8 @@ def union_length(starts: Column, width: int) -> Column:
     return F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: later stages restart from files that any executor sees."""
+    path = f"{shared_dir(df.sparkSession)}/fieldloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

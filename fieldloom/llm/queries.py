@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, quality
+from fieldloom.llm import decontaminate, linededup, mixing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_mix_sources": mixing.op3_mix_sources,
+        "op5_line_dedup": linededup.op5_line_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.SQL, "op7_decontaminate": decontaminate.SQL}
+    return {"op2_quality_rules": quality.SQL, "op3_mix_sources": mixing.SQL, "op5_line_dedup": linededup.SQL, "op7_decontaminate": decontaminate.SQL}
