@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, linededup, mixing, quality
+from fieldloom.llm import decontaminate, linededup, mixing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_personal_data": pii.op4_personal_data,
         "op5_line_dedup": linededup.op5_line_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
     }
