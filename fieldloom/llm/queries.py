@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, linededup, mixing, pii, quality
+from fieldloom.llm import decontaminate, linededup, mixing, pii, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_personal_data": pii.op4_personal_data,
         "op5_line_dedup": linededup.op5_line_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op9_secrets": secrets.op9_secrets,
     }
 
 
