@@ -14,7 +14,7 @@ BLANKS = "\t\n\x0b\x0c\r "
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["BLANKS", "BLANK_RUN", "ascii_lower", "documents", "hashed_windows", "read_table", "row_key", "shared_dir", "split_words", "stored", "union_length"]
+__all__ = ["BLANKS", "BLANK_RUN", "ascii_lower", "documents", "hashed_windows", "read_table", "row_key", "small_batches", "shared_dir", "split_words", "stored", "union_length"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,3 +62,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/fieldloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many texts: some are very long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, linededup, mixing, pii, quality, secrets
+from fieldloom.llm import decontaminate, linededup, mixing, pii, quality, secrets, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_file": tokenfile.op1_token_file,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_personal_data": pii.op4_personal_data,
