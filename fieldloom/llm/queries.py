@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, linededup, mixing, pii, quality, secrets, tokenfile
+from fieldloom.llm import decontaminate, linededup, minhash, mixing, pii, quality, secrets, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,8 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": linededup.op5_line_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op9_secrets": secrets.op9_secrets,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.SQL, "op3_mix_sources": mixing.SQL, "op5_line_dedup": linededup.SQL, "op7_decontaminate": decontaminate.SQL}
+    return {"op2_quality_rules": quality.SQL, "op3_mix_sources": mixing.SQL, "op5_line_dedup": linededup.SQL, "op7_decontaminate": decontaminate.SQL, "op10_minhash": minhash.SQL}
