@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, linededup, minhash, mixing, pii, quality, secrets, tokenfile
+from fieldloom.llm import decontaminate, linededup, minhash, mixing, pii, quality, secrets, suffixdedup, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_personal_data": pii.op4_personal_data,
         "op5_line_dedup": linededup.op5_line_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
         "op9_secrets": secrets.op9_secrets,
         "op10_minhash": minhash.op10_minhash,
     }
