@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import documents, split_words, stored
+from fieldloom.llm.common import documents, row_key, split_words, stored
 
 SHORT, BUCKETS, SEED = 32, 65_536, "mix"
 #: Tables of sources are broadcast up to this many rows (a few dozen bytes each).
@@ -46,9 +46,9 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for each row of docs (doc_id, source, text)."""
-    sized = docs.select("doc_id", "source", F.size(split_words(F.col("text"))).cast("long").alias("size"))
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken, and the columns to keep, for each row of docs (doc_id, source, text)."""
+    sized = docs.select("doc_id", "source", *keep, F.size(split_words(F.col("text"))).cast("long").alias("size"))
     sized = stored(sized.withColumn("long", F.col("size") >= SHORT), "sized")
 
     groups = sized.groupBy("source", "long").agg(F.sum("size").alias("words"))
@@ -87,7 +87,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) ->
     at_edge = at_edge.withColumn("drawn", 2 * F.col("before") + F.col("size") < 2 * F.col("remains")).drop("before")
     others = ranked.where(~F.coalesce(last, F.lit(False))).withColumn("drawn", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
     copies = F.col("whole") + F.col("drawn").cast("long")
-    return others.unionByName(at_edge).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return others.unionByName(at_edge).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, source, text and others), each as often as the mix takes it.
+
+    Rows equal in id, source and text get the most copies of any of them.
+    """
+    key = "_mix_key"
+    keyed = docs.withColumn(key, row_key(docs["doc_id"], docs["source"], docs["text"]))
+    taken = mix(keyed, keep=(key,)).where("copies > 0").groupBy(key).agg(F.max("copies").cast("int").alias("_copies"))
+    taken = stored(taken, "taken")
+    both = keyed.join(_small(taken, taken.count()), key)
+    return both.withColumn("_copy", F.explode_outer(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,14 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return ratios(counts(docs)).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that pass, with all their columns."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_id"), "text")
+    # A plain filter would be pushed below, and repeat every count in its condition.
+    passed = judge(rows, rules).select(F.explode_outer(F.when(F.col("kept"), F.array("doc_id"))).alias("row"))
+    return passed.where(F.col("row").isNotNull()).select("row.*")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judge(documents(spark, sf_dir)).select(*out)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, linededup, minhash, mixing, pii, quality, secrets, suffixdedup, tokenfile
+from fieldloom.llm import decontaminate, licenses, linededup, minhash, mixing, pii, quality, secrets, suffixdedup, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_personal_data": pii.op4_personal_data,
         "op5_line_dedup": linededup.op5_line_dedup,
+        "op6_license_scan": licenses.op6_license_scan,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
         "op9_secrets": secrets.op9_secrets,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.SQL, "op3_mix_sources": mixing.SQL, "op5_line_dedup": linededup.SQL, "op7_decontaminate": decontaminate.SQL, "op10_minhash": minhash.SQL}
+    return {"op2_quality_rules": quality.SQL, "op3_mix_sources": mixing.SQL, "op5_line_dedup": linededup.SQL, "op6_license_scan": licenses.SQL, "op7_decontaminate": decontaminate.SQL, "op10_minhash": minhash.SQL}
