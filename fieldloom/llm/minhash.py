@@ -7,11 +7,14 @@ class posts its first document under every coordinate-value pair. Two sets of Ja
 such pair in a million.
 
 Lists of postings are never expanded into all their pairs. A round links each member of a list to
-one leader (star), confirms these links on the full sets, and joins components; after ROUNDS
-rounds, few lists still span several components, and for those alone the members outside of the
-list's largest component are compared with all others, agreements are counted over lists, and
-pairs with LEAST or more are confirmed likewise. Pairs of one component need no test, so no link
-between components is lost. 64 further bits of the signature drop unlike pairs early.
+one leader (star), confirms these links on the full sets, and joins components. The first leaders
+are the members with the longest lists, as the original of a group of copies has; later ones are
+drawn by hash. After ROUNDS rounds few lists still span several components, and for those alone the
+members outside of the list's largest component are compared with all others: a pair is tested in
+the first list that it shares, if it agrees in LEAST coordinates or more, and confirmed likewise
+(long lists in blocks, in place, so that only links leave them).
+Pairs of one component need no test, so no link between components is lost. Cells of four bits from
+each of FUNCTIONS minwise values drop unlike pairs early.
 
 Defined results: null and empty texts, and texts without words, have empty sets and are linked
 with nothing; a text of fewer than `size` words has one shingle; rows that share an id count as one
@@ -28,14 +31,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import ascii_lower, documents, hashed_windows, small_batches, split_words, stored
 
-COORDINATES, DEPTH, LEAST, ROUNDS = 24, 3, 2, 3
-#: Of 64 signature bits, sets of similarity 0.8 differ in 6.4 on average; more than this in 3 of ten million pairs.
-MOST_BITS = 21
+COORDINATES, DEPTH, LEAST, ROUNDS = 24, 3, 2, 2
+#: Of 128 cells, sets of similarity 0.8 differ in 24 on average; in more than MOST_CELLS in one of a million pairs.
+FUNCTIONS, MOST_CELLS = 128, 46
+#: Lists of more members are compared in blocks of BLOCK; sets of more than HELD_SHINGLES are confirmed apart.
+BLOCK_FROM, BLOCK, HELD_SHINGLES = 64, 2048, 2000
 #: Ids are broadcast up to this many (8 bytes each), and joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 
@@ -82,12 +87,12 @@ def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(20_240_229).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, keys array<long>, bits long"
+SIGNED = "doc_id long, n_shingles long, set_key binary, keys array<long>, cells array<long>"
 
 
 def _sign_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = _multipliers(64 + COORDINATES * DEPTH)
+        factors = _multipliers(FUNCTIONS)
         for batch in batches:
             s, row = shingle_sets(batch.column(1), size)
             n = np.bincount(row, minlength=batch.num_rows)
@@ -95,23 +100,21 @@ def _sign_batches(size: int):
             starts = (np.cumsum(n) - n)[full]
             least = lambda f, s=s, starts=starts: mixed(np.minimum.reduceat(s * f, starts)) if len(starts) else np.zeros(0, np.uint64)
             keys = np.zeros((batch.num_rows, COORDINATES), np.uint64)
-            bits = np.zeros(batch.num_rows, np.uint64)
-            for c in range(COORDINATES):
-                value = np.full(len(full), c + 1, np.uint64)
-                for d in range(DEPTH):
-                    low = least(factors[64 + c * DEPTH + d])
-                    value = mixed(value * np.uint64(31) + low)
-                    if c * DEPTH + d < 64:
-                        bits[full] |= (low & np.uint64(1)) << np.uint64(c * DEPTH + d)
-                keys[full, c] = value
+            cells = np.zeros((batch.num_rows, FUNCTIONS // 16), np.uint64)
+            for f in range(FUNCTIONS):
+                low = least(factors[f])
+                cells[full, f // 16] |= (low & np.uint64(15)) << np.uint64(4 * (f % 16))
+                if (c := f // DEPTH) < COORDINATES:
+                    value = mixed((np.full(len(full), c + 1, np.uint64) if f % DEPTH == 0 else value) * np.uint64(31) + low)
+                    keys[full, c] = value
             sums = [np.zeros(batch.num_rows, np.uint64) for _ in range(2)]
             if len(full):
                 sums[0][full], sums[1][full] = np.add.reduceat(mixed(s ^ np.uint64(0xA5A5)), starts), np.add.reduceat(mixed(s * np.uint64(3)), starts)
             raw = np.stack(sums, axis=1).astype("<u8").tobytes()
             set_keys = [raw[16 * i : 16 * i + 16] if n[i] else None for i in range(batch.num_rows)]
-            offsets = pa.array(np.arange(batch.num_rows + 1) * COORDINATES, pa.int32())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(set_keys, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())), pa.array(bits.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "keys", "bits"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * x.shape[1], pa.int32()), pa.array(x.view(np.int64).ravel())) for x in (keys, cells)]
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(set_keys, pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "keys", "cells"])
 
     return run
 
@@ -132,7 +135,10 @@ class Sets:
 
     def need(self, pairs: DataFrame) -> None:
         """Makes the sets of documents of these pairs that there are none of yet."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        self.need_ids(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+
+    def need_ids(self, ids: DataFrame) -> None:
+        ids = ids.distinct()
         if self.parts:
             ids = ids.join(self.table().select("doc_id"), "doc_id", "left_anti")
         ids = stored(ids, "ids")
@@ -180,51 +186,135 @@ def components(links: DataFrame) -> DataFrame:
     return leaves.unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct())
 
 
+def alike(x: str, y: str) -> Column:
+    """Whether two signatures differ in few enough cells to be worth a test."""
+    differing = F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
+    spread = lambda z: z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z, 3))
+    ones = F.lit(0x1111111111111111)
+    return F.aggregate(differing, F.lit(0), lambda n, z: n + F.bit_count(spread(z).bitwiseAND(ones))) <= MOST_CELLS
+
+
 def _labelled(posts: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
         return posts.withColumn("component", F.col("doc"))
     return posts.join(found.withColumnRenamed("doc_id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
+def _short_list_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of unlike components from lists of at most BLOCK_FROM members."""
+    outside = lists.where("component <> top").select("key", F.col("doc").alias("x"), F.col("cells").alias("x_cells"), F.col("keys").alias("x_keys"), F.col("component").alias("x_component"))
+    agreed = F.zip_with("keys", "x_keys", lambda a, b: a == b)
+    # One list gives a pair, the first that it shares; outside of the largest component a pair stands on both sides, and counts once.
+    once = (F.array_position(agreed, True) == F.col("c") + 1) & ((F.col("component") == F.col("top")) | (F.col("x") < F.col("doc")))
+    likely = (F.size(F.filter(agreed, lambda e: e)) >= LEAST) & alike("cells", "x_cells")
+    pairs = lists.join(outside, "key").where((F.col("component") != F.col("x_component")) & once & likely)
+    return pairs.select(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b"))
+
+
+def _long_list_pairs(lists: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """The same from longer lists: (a, b, sure), sure links where both sets are at hand.
+
+    Blocks of BLOCK outsiders meet blocks of BLOCK members, so no task holds more, and only links
+    leave it.
+    """
+    sets.need_ids(lists.select(F.col("doc").alias("doc_id")))
+    if not sets.parts:
+        return lists.select(F.col("doc").alias("a"), F.col("doc").alias("b"), F.lit(False).alias("sure")).where("false")
+    own = sets.table().select(F.col("doc_id").alias("doc"), F.when(F.size("shingles") <= HELD_SHINGLES, F.col("shingles")).alias("shingles"))
+    rows = lists.join(own, "doc").withColumns({"n_m": F.ceil(F.col("n") / BLOCK).cast("int"), "n_x": F.ceil(F.col("n_outside") / BLOCK).cast("int")})
+    spot = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    keep = ("key", "c", "doc", "component", "top", "keys", "cells", "shingles")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    members = rows.select(*keep, F.lit(False).alias("out"), spot(F.col("n_m")).alias("i"), F.explode_outer(every("n_x")).alias("j"))
+    outside = rows.where("component <> top").select(*keep, F.lit(True).alias("out"), F.explode_outer(every("n_m")).alias("i"), spot(F.col("n_x")).alias("j"))
+    return members.unionByName(outside).groupBy("key", "i", "j").applyInArrow(_block_links(percent), "a long, b long, sure boolean")
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        out = np.asarray(table.column("out").combine_chunks())
+        of = lambda name, width: np.asarray(table.column(name).combine_chunks().flatten()).reshape(-1, width)
+        doc, component, top, at = (table.column(k).to_numpy() for k in ("doc", "component", "top", "c"))
+        keys, cells = of("keys", COORDINATES), of("cells", FUNCTIONS // 16).view(np.uint64)
+        held = table.column("shingles").combine_chunks()
+        has, sizes = np.asarray(held.is_valid()), np.asarray(pc.fill_null(pc.list_value_length(held), 0)).astype(np.int64)
+        flat = np.asarray(held.flatten())
+        known, codes = np.unique(flat, return_inverse=True)
+        ends = np.cumsum(sizes)
+        m, mark, ones = np.flatnonzero(~out), np.zeros(len(known) + 1, bool), np.uint64(0x1111111111111111)
+        # Members' codes, each list closed by a code that none has, so that empty ones count 0.
+        closed = np.insert(codes, ends, len(known)) if len(doc) else codes
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+        a, b, sure = [], [], []
+        c = int(at[0])
+        for x in np.flatnonzero(out):
+            same = keys[m] == keys[x]
+            good = (component[m] != component[x]) & ((component[m] == top[x]) | (doc[x] < doc[m])) & ~same[:, :c].any(axis=1) & (same.sum(axis=1) >= LEAST)
+            i = m[good]
+            if len(i):
+                z = cells[i] ^ cells[x]
+                z |= (z >> np.uint64(1)) | (z >> np.uint64(2)) | (z >> np.uint64(3))
+                i = i[np.bitwise_count(z & ones).sum(axis=1) <= MOST_CELLS]
+            if not len(i):
+                continue
+            tested = has[i] & has[x]
+            if tested.any():
+                own = codes[ends[x] - sizes[x] : ends[x]]
+                mark[own] = True
+                common = np.add.reduceat(mark[closed].astype(np.int64), starts)[i]
+                mark[own] = False
+                i = i[~tested | (100 * common >= percent * (sizes[i] + sizes[x] - common))]
+            a.append(np.minimum(doc[i], doc[x]))
+            b.append(np.maximum(doc[i], doc[x]))
+            sure.append(has[i] & has[x])
+        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+        return pa.table({"a": join(a, pa.int64()), "b": join(b, pa.int64()), "sure": join(sure, pa.bool_())})
+
+    return run
+
+
 def near_groups(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
     signed = stored(docs.select("doc_id", "text").mapInArrow(_sign_batches(size), SIGNED), "signed")
     named = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "bits", "keys")).alias("r")).select("set_key", "r.*")
+    classes = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "cells", "keys")).alias("r")).select("set_key", "r.*")
     classes = stored(classes, "classes")
+    signatures = classes.select(F.col("doc_id").alias("doc"), "keys", "cells")
 
-    posts = classes.select(F.col("doc_id").alias("doc"), "bits", F.explode_outer("keys").alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    posts = classes.select(F.col("doc_id").alias("doc"), F.posexplode_outer("keys").alias("c", "key"))
+    shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     posts = stored(posts.join(shared, "key"), "posts")
+    weights = posts.groupBy("doc").agg(F.sum("n").alias("weight"))
+    posts = stored(posts.drop("n").join(weights, "doc"), "posts")
 
     sets, links, found = Sets(docs, size), [], None
     # Rows that share an id are one document, whatever their texts.
     for turn in range(ROUNDS):
         own = _labelled(posts, found)
-        order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
-        leaders = own.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc", "bits", "component")).alias("l"), F.min("component").alias("x"), F.max("component").alias("y"))
-        leaders = leaders.where("x <> y").select("key", F.col("l.doc").alias("leader"), F.col("l.bits").alias("their_bits"), F.col("l.component").alias("their_component"))
-        stars = own.join(leaders, "key").where((F.col("component") != F.col("their_component")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("their_bits"))) <= MOST_BITS))
-        pairs = stored(stars.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct(), "pairs")
-        new = stored(confirmed(pairs, sets, percent), "links")
+        order = F.xxhash64("doc", F.lit(turn)) if turn else -F.col("weight")
+        leaders = own.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc", "component")).alias("l"), F.min("component").alias("x"), F.max("component").alias("y"))
+        leaders = leaders.where("x <> y").select("key", F.col("l.doc").alias("leader"), F.col("l.component").alias("their_component"))
+        stars = own.join(leaders, "key").where(F.col("component") != F.col("their_component"))
+        pairs = stars.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
+        cells = lambda of, to: signatures.select(F.col("doc").alias(of), F.col("cells").alias(to))
+        pairs = pairs.join(cells("a", "x"), "a").join(cells("b", "y"), "b").where(alike("x", "y")).select("a", "b")
+        new = stored(confirmed(stored(pairs, "pairs"), sets, percent), "links")
         if new.isEmpty():
             break
         links.append(new)
         found = stored(components(reduce(DataFrame.unionByName, links)), "components")
 
     # What is left: lists over several components.
-    own = _labelled(posts, found)
+    own = _labelled(posts.drop("weight"), found)
     sizes = own.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", F.col("top.component").alias("top"))
-    open_lists = stored(own.join(largest, "key"), "open")
-    outside = open_lists.where("component <> top").select("key", F.col("doc").alias("x"), F.col("bits").alias("x_bits"), F.col("component").alias("x_component"))
-    unlike = (F.col("component") != F.col("x_component")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= MOST_BITS)
-    # A pair outside of the largest component stands on both sides; it counts once.
-    once = (F.col("component") == F.col("top")) | (F.col("x") < F.col("doc"))
-    pairs = outside.join(open_lists, "key").where(unlike & once).groupBy(F.least("doc", "x").alias("a"), F.greatest("doc", "x").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("a", "b")
-    new = stored(confirmed(stored(pairs, "pairs"), sets, percent), "links")
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1").select("key", "n", F.col("top.component").alias("top"), (F.col("n") - F.col("top.n")).alias("n_outside"))
+    open_lists = stored(own.join(largest, "key").join(signatures, "doc"), "open")
+    short, long = open_lists.where(F.col("n") <= BLOCK_FROM), open_lists.where(F.col("n") > BLOCK_FROM)
+    pairs = stored(_short_list_pairs(short).withColumn("sure", F.lit(False)).unionByName(_long_list_pairs(long, sets, percent)), "pairs")
+    new = pairs.where("sure").select("a", "b").unionByName(confirmed(pairs.where("NOT sure").select("a", "b"), sets, percent))
+    new = stored(new, "links")
     if not new.isEmpty():
         links.append(new)
         found = stored(components(reduce(DataFrame.unionByName, links)), "components")
