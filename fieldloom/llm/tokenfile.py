@@ -22,22 +22,24 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import documents, shared_dir, small_batches
+from fieldloom.llm.common import documents, shared_dir, small_batches, stored
 
 END_ID = 2
 BLOCK = 256
 #: A segment is closed when it has so many tokens; a longer document has one of its own.
 SEGMENT = 1 << 18
 #: Words kept with their ids by a worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 MAX_BITS = 16
 
 
@@ -51,38 +53,42 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def rows_of(self, words: list[str]) -> np.ndarray:
+    def rows_of(self, words: pa.Array) -> np.ndarray:
         """The row of each word in starts and sizes."""
-        if len(self.known) + len(words) > CACHE_WORDS:
+        found = pc.index_in(words, value_set=self.known)
+        if found.null_count and len(self.known) + found.null_count > CACHE_WORDS:
             self.clear()
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            for w in new:
-                known[w] = len(known)
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-            starts = len(self.ids) + np.cumsum(sizes) - sizes
-            self.ids, self.starts, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            found = pc.index_in(words, value_set=self.known)
+        if found.null_count:
+            new = words.filter(pc.is_null(found))
+            for at in range(0, len(new), 4096):
+                lists = [e.ids for e in self.tokenizer.encode_batch_fast(new.slice(at, 4096).to_pylist(), add_special_tokens=False)]
+                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+                flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+                starts = len(self.ids) + np.cumsum(sizes) - sizes
+                self.ids, self.starts, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+            rows = np.asarray(pc.fill_null(found, 0)).astype(np.int64)
+            rows[np.asarray(pc.is_null(found))] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            return rows
+        return np.asarray(found).astype(np.int64)
 
     @staticmethod
-    def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Offsets of the texts' words, the words as numbers, and the different words."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         offsets = np.asarray(lists.offsets).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        return offsets - offsets[0], np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        return offsets - offsets[0], np.asarray(coded.indices).astype(np.int64), coded.dictionary
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and how many each has."""
         offsets, numbers, words = self._words(texts)
-        rows = self.rows_of(words)[numbers] if words else np.zeros(0, np.int64)
+        rows = self.rows_of(words)[numbers] if len(words) else np.zeros(0, np.int64)
         sizes = self.sizes[rows]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         lengths = upto[offsets[1:]] - upto[offsets[:-1]] + 1
@@ -96,17 +102,6 @@ class WordEncoder:
         out[inner] = self.ids[source]
         return out, lengths
 
-    def counts(self, texts: pa.Array, end_id: int, into: np.ndarray) -> None:
-        """Adds the counts of the texts' ids, without expanding them."""
-        _, numbers, words = self._words(texts)
-        into[end_id] += len(texts)
-        if words:
-            rows, times = self.rows_of(words), np.bincount(numbers, minlength=len(words))
-            sizes = self.sizes[rows]
-            before = np.cumsum(sizes) - sizes
-            ids = self.ids[np.repeat(self.starts[rows] - before, sizes) + np.arange(sizes.sum())]
-            into += np.bincount(ids, weights=np.repeat(times, sizes), minlength=len(into)).astype(np.int64)
-
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
     """Optimal code lengths of at most `most` bits by package-merge; 0 where the count is 0."""
@@ -191,25 +186,51 @@ class Decoder:
         return out.T.reshape(-1)[:n]
 
 
-def _count_rows(path: str, end_id: int):
+def _width(encoder: WordEncoder, end_id: int) -> str:
+    """The type in which ids are held between the passes."""
+    return "<u2" if max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
+
+
+ENCODED = "doc_id long, tie long, n int, width string, packed binary"
+
+
+def _encode_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
-        counts = np.zeros(max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) + 1, np.int64)
+        width, pack = _width(encoder, end_id), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            encoder.counts(batch.column(0), end_id, counts)
-        ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(counts[ids], pa.int64())], names=["id", "n"])
+            ids, sizes = encoder.encode(batch.column(2), end_id)
+            raw, ends = memoryview(ids.astype(width).tobytes()), (np.cumsum(sizes) * int(width[2])).tolist()
+            packed = [pack.compress(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array([width] * len(sizes), pa.string()), pa.array(packed, pa.binary())], names=["doc_id", "tie", "n", "width", "packed"])
 
     return run
 
 
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of rows (…, n, width, packed), and how many each has."""
+    unpack, sizes = zstandard.ZstdDecompressor(), batch.column("n").to_numpy().astype(np.int64)
+    parts = [np.frombuffer(unpack.decompress(x, max_output_size=int(n) * int(w[2])), w) for x, n, w in zip(batch.column("packed").to_pylist(), sizes, batch.column("width").to_pylist(), strict=True)]
+    return (np.concatenate(parts) if parts else np.zeros(0)).astype(np.uint32), sizes
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(0, np.int64)
+    for batch in batches:
+        own = np.bincount(_unpacked(batch)[0])
+        counts = np.pad(counts, (0, max(0, len(own) - len(counts))))
+        counts[: len(own)] += own
+    ids = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(counts[ids], pa.int64())], names=["id", "n"])
+
+
 SEGMENT_SCHEMA = "part int, at long, doc_ids array<long>, lengths array<int>, checkpoints binary, payload binary"
 
 
-def _segment_rows(path: str, end_id: int, lengths):
+def _segment_rows(lengths):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = lengths.value
-        encoder, codes, part, at = WordEncoder(path), canonical(bits), TaskContext.get().partitionId(), 0
+        codes, part, at = canonical(bits), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         docs: list[pa.Array] = []
         sizes: list[np.ndarray] = []
@@ -222,7 +243,7 @@ def _segment_rows(path: str, end_id: int, lengths):
 
         for batch in batches:
             done = 0
-            ids, own = encoder.encode(batch.column(1), end_id)
+            ids, own = _unpacked(batch)
             upto = np.concatenate([[0], np.cumsum(own)])
             while done < len(own):
                 room = SEGMENT - sum(map(len, held))
@@ -246,17 +267,18 @@ def write_corpus(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/fieldloom/corpus-{uuid.uuid4().hex}"
-    # One pass counts, a second encodes: to hold the ids meanwhile would take more than to make them again.
-    counted = docs.select("text").mapInArrow(_count_rows(tokenizer, end_id), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    # Texts are encoded once; the ids are kept, packed, until their counts are known.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    encoded = stored(rows.mapInArrow(_encode_rows(tokenizer, end_id), ENCODED), "encoded")
+    counted = encoded.select("n", "width", "packed").mapInArrow(_count_rows, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = counted.collect()  # at most one row for each id of the vocabulary
     counts = np.zeros(max([end_id, *(r.id for r in found)]) + 1, np.int64)
     counts[[r.id for r in found]] = [r.n for r in found]
     bits = code_lengths(counts)
     spark.createDataFrame([(int(i), int(bits[i])) for i in np.flatnonzero(bits)], "id int, bits int").coalesce(1).write.parquet(f"{folder}/code")
     lengths = spark.sparkContext.broadcast(bits)  # bounded by the vocabulary
-    rows = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    ranged = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    ranged.mapInArrow(_segment_rows(tokenizer, end_id, lengths), SEGMENT_SCHEMA).write.parquet(f"{folder}/segments")
+    ranged = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    ranged.mapInArrow(_segment_rows(lengths), SEGMENT_SCHEMA).write.parquet(f"{folder}/segments")
     return folder
 
 
