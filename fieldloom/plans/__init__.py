@@ -1 +1,5 @@
+"""Named queries; importing the package registers them."""
 
+from fieldloom.plans import registry, tabular, topological
+
+__all__ = ["registry", "tabular", "topological"]
