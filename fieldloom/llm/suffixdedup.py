@@ -136,7 +136,7 @@ class Batch:
             whole = mixed(ranker.rank(low, high + LENGTH) + (anchor - low).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
             parts.append((low + at, high + at, np.searchsorted(self.ends, low + at, "right"), mixed(key[anchor]), whole & np.uint64(2**48 - 1)))
         if not parts:
-            return {k: np.zeros(0, np.int64) for k in ("low", "high", "doc", "key", "whole")}
+            return {k: np.zeros(0, np.uint64 if k in ("key", "whole") else np.int64) for k in ("low", "high", "doc", "key", "whole")}
         return dict(zip(("low", "high", "doc", "key", "whole"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
 
 
