@@ -21,7 +21,7 @@ def sql():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v != v else round(float(v), 5) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+    plain = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 5) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
     return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=repr)
 
 
