@@ -94,20 +94,26 @@ def critical_points_1d(df: DataFrame, by: list[str], order: str, value: str) ->
     return df.withColumn("CriticalType", F.when(lower == 0, 0).when(upper == 0, 1).otherwise(-1))
 
 
-def components(ids: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(vid, ComponentId): the greatest vid reachable over edges (vid, nvid), by pointing to the greatest and jumping."""
+def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(vid, ComponentId): the greatest vid reachable over edges (vid, nvid), by hooking to the greatest and jumping.
+
+    A vertex's label is a vertex of its component. Each round, a vertex and the vertex that it points to take the
+    greatest label that the neighbours point at in two steps, and each pointer jumps to its pointer's end. Labels only
+    grow, and the greatest one crosses at least an edge a round, so the loop ends; it ends when nothing moves.
+    """
     both = written(edges.select("vid", "nvid").unionByName(edges.select(F.col("nvid").alias("vid"), F.col("vid").alias("nvid"))).distinct(), "edges")
-    label = written(ids.select("vid", F.col("vid").alias("c")), "component")
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("vid").alias("nvid"), "c"), "nvid").groupBy("vid").agg(F.max("c").alias("m"))
-        hooked = label.join(near, "vid", "left").select("vid", "c", F.greatest("c", F.coalesce("m", "c")).alias("n"))
-        # A whole component follows the greatest label that any of its members has seen.
-        roots = hooked.groupBy("c").agg(F.max("n").alias("r"))
-        new = written(hooked.join(roots, "c").select("vid", F.col("r").alias("c"), (F.col("r") != F.col("c")).alias("moved")), "component")
-        if new.where("moved").isEmpty():
-            break
+    label = written(ids.select("vid", F.col("vid").alias("c")).distinct(), "component")
+    while True:
+        ahead = label.join(label.select(F.col("vid").alias("c"), F.col("c").alias("far")), "c").select("vid", "c", "far")
+        near = both.join(ahead.select(F.col("vid").alias("nvid"), "far"), "nvid").groupBy("vid").agg(F.max("far").alias("m"))
+        hooked = written(ahead.join(near, "vid", "left").select("vid", "c", F.greatest("far", "m").alias("n")), "hooked")
+        # The vertex pointed to follows, and with it, by jumps, all that point there.
+        offers = hooked.select("vid", "c", "n").unionByName(hooked.select(F.col("c").alias("vid"), F.lit(None).alias("c"), "n"))
+        new = offers.groupBy("vid").agg(F.max("c").alias("was"), F.max("n").alias("c"))
+        new = written(new.select("vid", "c", (F.col("c") != F.col("was")).alias("moved")), "component")
         label = new.select("vid", "c")
-    return label.withColumnRenamed("c", "ComponentId")
+        if new.where("moved").isEmpty():
+            return label.withColumnRenamed("c", "ComponentId")
 
 
 def connected_components(points: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:

@@ -62,3 +62,35 @@ def test_empty(spark):
     edges = spark.createDataFrame([], "dataset long, vid long, nvid long")
     assert topology.persistence_diagram(points, edges).count() == 0
     assert mesh.components(points, edges).count() == 0
+
+
+def brute_components(ids, pairs):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[a] = b
+    return {i: find(i) for i in ids}
+
+
+def test_components_of_any_length(spark):
+    r = np.random.default_rng(3)
+    shuffled = (1000 + r.permutation(300)).tolist()
+    ids = [*range(300), *shuffled, *range(2000, 2150)]
+    # A path with ascending ids, one with shuffled ids, and a sparse random graph.
+    pairs = [(i, i + 1) for i in range(299)] + list(zip(shuffled, shuffled[1:], strict=False)) + r.integers(2000, 2150, (90, 2)).tolist()
+    points = spark.createDataFrame([(i,) for i in ids], "vid long")
+    edges = spark.createDataFrame(pairs, "vid long, nvid long")
+    found = mesh.components(points, edges).collect()
+    assert len(found) == len(ids)
+    assert {x.vid: x.ComponentId for x in found} == brute_components(ids, pairs)
+
+
+def test_merge_points_along_a_line(spark):
+    points = spark.createDataFrame([(i, 0.9 * i, 0.0, 0.0) for i in range(150)], "vid long, x double, y double, z double")
+    assert {r.representative for r in mesh.merge_points(points, 1.0).collect()} == {0}
