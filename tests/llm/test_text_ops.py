@@ -143,6 +143,37 @@ def test_odd_rows(spark, odd):
     assert found[4] and found[5] and found[1] and not found[7] and not found[2]
 
 
+def licence_texts() -> dict[str, str]:
+    folder = os.path.join(os.path.dirname(licenses.__file__), "licences")
+    return {f[:-4]: open(os.path.join(folder, f), encoding="utf-8").read() for f in sorted(os.listdir(folder))}
+
+
+def test_license_headers_and_files(spark):
+    agpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version."
+    said = [
+        *[(f"SPDX-License-Identifier: {name}", name) for name in licenses.NAMES],
+        ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+        ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+        ("/* SPDX-License-Identifier: (Zlib OR MIT) */", "MIT"),
+        ("SPDX-License-Identifier: Zlib", None),
+        ("MIT License", "MIT"),
+        ("Apache License", "Apache-2.0"),
+        ("                                 Apache License\n                           Version 2.0, January 2004", "Apache-2.0"),
+        ("Mozilla Public License Version 2.0", "MPL-2.0"),
+        ("GNU GENERAL PUBLIC LICENSE", None),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-2.0"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"),
+        (agpl, "AGPL-3.0"),
+        *[(text, name) for name, text in licence_texts().items()],
+        # With a holder, without a title, and set in lines of another length.
+        *[(re.sub("<[^>]*>", "Jane Doe", " ".join(text.split()[2:])), name) for name, text in licence_texts().items()],
+    ]
+    files = spark.createDataFrame([(i, f"p{i}/f", text) for i, (text, _) in enumerate(said)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_licence for r in licenses.scan(files).collect()}
+    assert [(text[:60], got[i]) for i, (text, _) in enumerate(said)] == [(text[:60], name) for text, name in said]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
