@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, minhash, mixing, quality, tokenfile
-from fieldloom.llm.common import documents, read_table, stored
+from fieldloom.llm.common import documents, read_table, row_key, stored
 
 #: Shingles of five words, near from a similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
-#: Decisions are broadcast up to this many ids (8 bytes each), and joined by shuffle beyond.
+#: Decisions are broadcast up to this many ids (8 bytes each; keys of texts 16), and joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 
 
@@ -32,15 +32,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of least id stays; rows without id stay."""
+    """Of each group of near duplicates, the document of least id stays.
+
+    Rows without id are in no group and stay, copies too. Rows that share an id are one document, whatever their
+    texts: they stay or go together.
+    """
     dropped = minhash.near_groups(docs, SHINGLE, PERCENT).where(~F.col("kept"))
     return _by_decision(docs, dropped, "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark items go."""
-    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return _by_decision(docs, found.where("contaminated"), "left_anti")
+    """Rows contaminated by benchmark items go. Each text is judged by itself: rows without id go too, and of rows that share an id only those go whose own text is contaminated."""
+    key = "_text_key"
+    found = decontaminate.contamination(docs.select(row_key(docs["text"]).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    keys = stored(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "decided")
+    keyed = docs.withColumn(key, row_key(docs["text"]))
+    return keyed.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, key, "left_anti").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

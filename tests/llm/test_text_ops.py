@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, licenses, linededup, minhash, mixing, pii, quality, queries, secrets, suffixdedup, tokenfile
 
@@ -185,3 +186,19 @@ def test_pipeline(spark):
     left = corpus_pipeline.near_duplicates(spark, good, DIR)
     assert {r.doc_id for r in left.select("doc_id").collect()} == {r.component_id for r in groups}
     assert corpus_pipeline.run(spark, DIR).count() > 0
+
+
+def test_pipeline_ids(spark):
+    import corpus_pipeline
+
+    item = next(t for (t,) in duckdb.execute(f"SELECT text FROM read_parquet('{DIR}/benchmark.parquet') ORDER BY item_id").fetchall() if len((t or "").split()) > 13)
+    clean = "nothing of a benchmark stands in these words of mine " * 3
+    rows = [(None, item), (None, clean), (1, item), (1, clean), (2, clean), (2, clean), (3, item), (4, None), (5, "")]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t, source="a", lang="en", n_chars=0) for i, t in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    left = corpus_pipeline.decontamination(spark, docs, DIR)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(((i, t) for i, t in rows if t != item), key=repr)
+    # Near duplicates: the copies under id 9 go, rows without id and both rows of id 2 stay.
+    copies = docs.where("doc_id IS NULL OR doc_id >= 2").unionByName(docs.where(F.col("doc_id") == 2).withColumn("doc_id", F.lit(9).cast("long")))
+    stay = corpus_pipeline.near_duplicates(spark, copies, DIR)
+    assert sorted(((r.doc_id, r.text) for r in stay.collect()), key=repr) == sorted([(None, item), (None, clean), (2, clean), (2, clean), (3, item), (4, None), (5, "")], key=repr)
