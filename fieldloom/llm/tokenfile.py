@@ -19,10 +19,13 @@ further columns are ignored. Texts are encoded whole.
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,48 +41,119 @@ END_ID = 2
 BLOCK = 256
 #: A segment is closed when it has so many tokens; a longer document has one of its own.
 SEGMENT = 1 << 18
-#: Words kept with their ids by a worker.
-CACHE_WORDS = 300_000
+#: Words kept with their ids by a worker (about 170 bytes each).
+CACHE_WORDS = 600_000
+#: Characters of text that are encoded at once; a longer text is alone.
+PIECE = 2 << 20
 MAX_BITS = 16
 
 
+#: The steps before the model of the tokenizers that `WordEncoder` is right for: white space ends every piece.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+class TextEncoder:
+    """Encodes whole texts: right for any tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with the end id, and how many each has."""
+        parts, lengths = [], []
+        for text in texts:
+            own = self.tokenizer.encode(text.as_py() or "", add_special_tokens=False).ids
+            parts.append(np.array([*own, end_id], np.uint32))
+            lengths.append(len(own) + 1)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array(lengths, np.int64)
+
+
+#: Letters that no normalisation touches, and ASCII marks and digits: between the two, such a tokenizer always cuts.
+LETTER, MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[!-/:-@\\[-`{-~0-9]"
+
+
 class WordEncoder:
-    """Encodes texts word by word: this tokenizer never joins over white space, so equal words have equal ids."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known = pa.array([], pa.large_string())
-        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def rows_of(self, words: pa.Array) -> np.ndarray:
-        """The row of each word in starts and sizes."""
-        found = pc.index_in(words, value_set=self.known)
-        if found.null_count and len(self.known) + found.null_count > CACHE_WORDS:
-            self.clear()
-            found = pc.index_in(words, value_set=self.known)
-        if found.null_count:
-            new = words.filter(pc.is_null(found))
-            for at in range(0, len(new), 4096):
-                lists = [e.ids for e in self.tokenizer.encode_batch_fast(new.slice(at, 4096).to_pylist(), add_special_tokens=False)]
-                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-                flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-                starts = len(self.ids) + np.cumsum(sizes) - sizes
-                self.ids, self.starts, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-            rows = np.asarray(pc.fill_null(found, 0)).astype(np.int64)
-            rows[np.asarray(pc.is_null(found))] = len(self.known) + np.arange(len(new))
-            self.known = pa.concat_arrays([self.known, new])
-            return rows
-        return np.asarray(found).astype(np.int64)
-
-    @staticmethod
-    def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Encodes texts word by word: a tokenizer of BY_WORD never joins over white space, so equal words have equal ids.
+
+    The ids of up to CACHE_WORDS words are kept from batch to batch; where they are full, those not met since the last
+    time go. New words of LETTERs alone are one piece each, and are encoded many at a time: the ids of a piece end with
+    the first that has the tokenizer's end mark.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        mark = json.loads(tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for w, i in tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith(mark)]] = True
+        self.special = [str(t) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.sizes, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _keep(self, live: np.ndarray) -> None:
+        """Forgets all words but those of the rows marked."""
+        rows, number = np.flatnonzero(live), np.cumsum(live) - 1
+        self.known = {w: int(number[r]) for w, r in self.known.items() if live[r]}
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.starts, self.sizes, self.met = ends - sizes, sizes, np.zeros(len(rows), bool)
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """The row of each of the different words in starts and sizes."""
+        find = lambda: np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        rows = find()
+        n_new = int((rows < 0).sum())
+        if n_new and len(self.known) + n_new > CACHE_WORDS:
+            now = np.zeros(len(self.met), bool)
+            now[rows[rows >= 0]] = True
+            self._keep(self.met | now if np.sum(self.met | now) <= CACHE_WORDS // 2 else now)
+            rows = find()
+        self.met[rows[rows >= 0]] = True
+        if n_new:
+            places = np.flatnonzero(rows < 0)
+            new = [words[i] for i in places.tolist()]
+            plain = np.asarray(pc.match_substring_regex(pa.array(new, pa.large_string()), f"^{LETTER}+$"))
+            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+            places, new = places[order], [new[i] for i in order.tolist()]
+            ids, sizes = [], []
+            for at in range(0, n_new, 1024):
+                part, to = new[at : at + 1024], min(at + 1024, int(plain.sum()))
+                flat, own = self._joined(part[: to - at]) if to > at else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+                lists = [e.ids for e in self.tokenizer.encode_batch_fast(part[max(to - at, 0) :], add_special_tokens=False)]
+                rest = np.fromiter(map(len, lists), np.int64, len(lists))
+                ids += [flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(rest.sum()))]
+                sizes += [own, rest]
+            own = np.concatenate(sizes)
+            rows[places] = len(self.sizes) + np.arange(n_new)
+            self.known.update(zip(new, rows[places].tolist(), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(own) - own])
+            self.ids, self.sizes, self.met = np.concatenate([self.ids, *ids]), np.concatenate([self.sizes, own]), np.concatenate([self.met, np.zeros(n_new, bool)])
+        return rows
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words of one piece each, and how many each has."""
+        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer doesn't end its pieces as BY_WORD says")
+        return ids, np.diff(ends, prepend=0)
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Offsets of the texts' words, the words as numbers, and the different words."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        cut = pc.replace_substring_regex(texts, f"({LETTER})({MARK})", "\\1\n\\2")
+        for token in self.special:  # these stay in one piece
+            cut = pc.if_else(pc.match_substring(texts, token), texts, cut)
+        lists = pc.ascii_split_whitespace(cut)
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         offsets = np.asarray(lists.offsets).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
@@ -88,7 +162,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and how many each has."""
         offsets, numbers, words = self._words(texts)
-        rows = self.rows_of(words)[numbers] if len(words) else np.zeros(0, np.int64)
+        rows = self.rows_of(words.to_numpy(zero_copy_only=False).tolist())[numbers] if len(words) else np.zeros(0, np.int64)
         sizes = self.sizes[rows]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         lengths = upto[offsets[1:]] - upto[offsets[:-1]] + 1
@@ -186,7 +260,7 @@ class Decoder:
         return out.T.reshape(-1)[:n]
 
 
-def _width(encoder: WordEncoder, end_id: int) -> str:
+def _width(encoder: WordEncoder | TextEncoder, end_id: int) -> str:
     """The type in which ids are held between the passes."""
     return "<u2" if max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
 
@@ -194,15 +268,38 @@ def _width(encoder: WordEncoder, end_id: int) -> str:
 ENCODED = "doc_id long, tie long, n int, width string, packed binary"
 
 
+@cache
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    """The encoder of a tokenizer: one for each worker process, whatever tasks it runs."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    steps = json.loads(own.to_str())
+    return WordEncoder(own) if all(steps[k] == v for k, v in BY_WORD.items()) else TextEncoder(own)
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most PIECE bytes of text, or of one text."""
+    upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(2)), 0)).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _encode_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
-        width, pack = _width(encoder, end_id), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            ids, sizes = encoder.encode(batch.column(2), end_id)
-            raw, ends = memoryview(ids.astype(width).tobytes()), (np.cumsum(sizes) * int(width[2])).tolist()
-            packed = [pack.compress(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array([width] * len(sizes), pa.string()), pa.array(packed, pa.binary())], names=["doc_id", "tie", "n", "width", "packed"])
+        own = encoder(path)
+        width, pack = _width(own, end_id), zstandard.ZstdCompressor(level=1)
+        for whole in batches:
+            for batch in _pieces(whole):
+                ids, sizes = own.encode(batch.column(2), end_id)
+                raw, ends = memoryview(ids.astype(width).tobytes()), (np.cumsum(sizes) * int(width[2])).tolist()
+                packed = [pack.compress(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array([width] * len(sizes), pa.string()), pa.array(packed, pa.binary())], names=["doc_id", "tie", "n", "width", "packed"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
