@@ -110,7 +110,15 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts, ratios, base_failed and kept for each row of docs (doc_id, text)."""
+    """Counts, ratios, base_failed and kept for each row of docs (doc_id, text).
+
+    The row is made once: a filter on the result isn't pushed below, where it would repeat every count in its condition.
+    """
+    judged = _judged(docs, rules)
+    return judged.select(F.explode_outer(F.array(F.struct(*judged.columns))).alias("row")).select("row.*")
+
+
+def _judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return ratios(counts(docs)).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
@@ -118,14 +126,13 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_id"), "text")
-    # A plain filter would be pushed below, and repeat every count in its condition.
-    passed = judge(rows, rules).select(F.explode_outer(F.when(F.col("kept"), F.array("doc_id"))).alias("row"))
+    passed = _judged(rows, rules).select(F.explode_outer(F.when(F.col("kept"), F.array("doc_id"))).alias("row"))
     return passed.where(F.col("row").isNotNull()).select("row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(documents(spark, sf_dir)).select(*out)
+    return _judged(documents(spark, sf_dir)).select(*out)
 
 
 SQL = f"""
