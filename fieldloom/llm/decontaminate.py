@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import ascii_lower, documents, hashed_windows, read_table, row_key, split_words
+from fieldloom.llm.common import ascii_lower, documents, hashed_windows, read_table, row_key, split_words, stored
 
 WINDOW = 13
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The window table is broadcast up to this many windows (about 150 bytes each); beyond, it is joined by shuffle.
-BROADCAST_WINDOWS = 500_000
+#: The same before A-Z are lower-cased.
+CASED_SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: The window table is broadcast up to this size, item ids included; beyond, it is joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def normal_words(text: Column) -> Column:
@@ -46,16 +48,18 @@ def _hashes(df: DataFrame, sizes: list[int]) -> tuple[DataFrame, Column]:
     return df, F.concat(*arrays) if len(arrays) > 1 else arrays[0]
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each row of docs (doc_id, text): n_words, its confirmed hits (at, size, items), in order."""
-    grams = benchmark_windows(items, window)
+def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+    """For each row of docs (doc_id, text): n_words, its confirmed hits (at, size, items), in order, and its text if asked for."""
+    grams = stored(benchmark_windows(items, window), "windows")
+    own_text = ["text"] * keep_text
     sizes = [r[0] for r in grams.select("size").distinct().orderBy("size").collect()]  # at most `window` rows
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", "text")
     if not sizes:
-        return rows.select("doc_id", F.size(normal_words(F.col("text"))).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<at:int,size:int,items:array<string>>>)").alias("hits"))
+        return rows.select("doc_id", *own_text, F.size(normal_words(F.col("text"))).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<at:int,size:int,items:array<string>>>)").alias("hits"))
     own, parts = _hashes(grams.withColumn("words", F.split("gram", " ")), sizes)
     grams = own.select("size", "gram", "items", F.explode_outer(parts).alias("p")).where((F.col("p.size") == F.col("size")) & (F.col("p.at") == 0)).select("size", "gram", "items", F.col("p.h").alias("h"))
-    if grams.count() <= BROADCAST_WINDOWS:
+    held = F.octet_length("gram") + 64 + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
+    if (grams.agg(F.sum(held.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES:
         grams = F.broadcast(grams)
 
     keyed = rows.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("k"))
@@ -67,10 +71,10 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFr
         scanned = scanned.select("k", F.explode_outer(parts).alias("p")).select("k", "p.*")
     found = scanned.join(grams, ["size", "h"]).groupBy("k").agg(F.collect_set(F.struct("at", "size", "gram", "items")).alias("found"))
 
-    both = keyed.join(found, "k", "left").select("doc_id", normal_words(F.col("text")).alias("words"), "found")
+    both = keyed.join(found, "k", "left").select("doc_id", *own_text, normal_words(F.col("text")).alias("words"), "found")
     true = F.filter("found", lambda x: F.array_join(F.slice("words", x["at"] + 1, x["size"]), " ") == x["gram"])
     hits = F.sort_array(F.transform(true, lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), x["items"].alias("items"))))
-    return both.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(hits, F.expr("array()")).alias("hits"))
+    return both.select("doc_id", *own_text, F.size("words").cast("long").alias("n_words"), F.coalesce(hits, F.expr("array()")).alias("hits"))
 
 
 def hit_words(hits: Column) -> Column:
@@ -81,19 +85,37 @@ def hit_words(hits: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids) and contaminated for each row of docs."""
+    """doc_id, n_words, n_hit, n_items, items (sorted ids), full_window (whether a window of full size occurs) and contaminated for each row of docs."""
     found = find_hits(docs, items, window)
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
-    out = found.select("doc_id", "n_words", hit_words(F.col("hits")).alias("n_hit"), ids.alias("items"))
+    out = found.select("doc_id", "n_words", hit_words(F.col("hits")).alias("n_hit"), ids.alias("items"), F.exists("hits", lambda x: x["size"] >= window).alias("full_window"))
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def runs_of(hits: Column) -> Column:
+    """Maximal runs (a, b) of hit words; hits are sorted by position."""
+    none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        last, to = F.element_at(acc, -1), x["at"] + x["size"]
+        joins = (F.size(acc) > 0) & (x["at"] <= F.coalesce(last["b"], F.lit(-1)))
+        kept = F.slice(acc, 1, F.greatest(F.size(acc) - F.when(joins, 1).otherwise(0), F.lit(0)))
+        return F.array_append(kept, F.struct(F.when(joins, last["a"]).otherwise(x["at"]).alias("a"), F.when(joins, F.greatest(last["b"], to)).otherwise(to).alias("b")))
+
+    return F.aggregate(hits, none, lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["at"].alias("a"), (x["at"] + x["size"]).alias("b")))).otherwise(step(acc, x)))
+
+
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and the normalised words of each row of docs that no hit covers, joined by blanks."""
-    grams = find_hits(docs.select("doc_id", "text"), items, window).select("doc_id", "hits").where(F.size("hits") > 0).dropDuplicates()
-    both = docs.select("doc_id", "text").join(grams, "doc_id", "left").withColumn("words", normal_words(F.col("text")))
-    left = F.filter("words", lambda w, i: ~F.exists(F.coalesce("hits", F.expr("array()")), lambda x: (i >= x["at"]) & (i < x["at"] + x["size"])))
-    return both.select("doc_id", F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.array_join(left, " ")).alias("text"))
+    """doc_id and text of each row of docs, without the words that a hit covers and what separates each from the next word.
+
+    The rest of a text stays as it is. Rows are taken one by one, whatever their ids; null texts stay null.
+    """
+    found = find_hits(docs, items, window, keep_text=True).withColumn("runs", runs_of(F.col("hits")))
+    pieces, between = F.split("text", CASED_SEPARATORS), F.regexp_extract_all("text", F.lit(f"({CASED_SEPARATORS})"), 1)
+    first = F.when(F.get(pieces, 0) == "", 1).otherwise(0)  # a text that begins with a separator has an empty piece before it
+    covered = lambda i: F.exists("runs", lambda r: (i - first >= r["a"]) & (i - first < r["b"]))
+    left = F.transform(pieces, lambda p, i: F.when(covered(i), F.lit("")).otherwise(F.concat(p, F.coalesce(F.get(between, i), F.lit("")))))
+    return found.select("doc_id", F.when(F.size("hits") == 0, F.col("text")).otherwise(F.array_join(left, "")).alias("text"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
