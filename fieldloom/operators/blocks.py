@@ -22,14 +22,11 @@ def extract_blocks(df: DataFrame, block: str, indices: list[int]) -> DataFrame:
 
 
 def extract_rows(df: DataFrame, index: str, wanted: list[int]) -> DataFrame:
-    """Rows by index, in the order asked for and as often; an index that isn't there is an error."""
-    spark = df.sparkSession
-    asked = spark.createDataFrame(list(enumerate(wanted)), f"Position long, {index} long")
-    out = F.broadcast(asked).join(df, index, "left") if not wanted else df.join(F.broadcast(asked), index)
-    missing = set(wanted) - {r[0] for r in df.where(F.col(index).isin(wanted)).select(index).distinct().collect()}
-    if missing:
-        raise IndexError(f"rows out of range: {sorted(missing)}")
-    return out
+    """Rows by index, in the order asked for (Position) and as often; an index that isn't there is an error, raised as rows are read."""
+    asked = df.sparkSession.createDataFrame(list(enumerate(wanted)), f"Position long, _k {dict(df.dtypes)[index]}")
+    found = F.broadcast(asked).join(df.withColumn("_there", F.lit(True)), F.col("_k") == F.col(index), "left")  # as long as the request
+    there = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("row out of range: "), F.col("_k").cast("string"))).cast("long")).otherwise(F.col("Position"))
+    return found.withColumn("Position", there).select("Position", *df.columns)
 
 
 def comparison(value: Column, how: str, pivots: list[float]) -> Column:
@@ -96,3 +93,11 @@ def grid_layout(points: DataFrame, block: str, columns: int, gap: float = 1.0) -
     cell = spans.agg(F.max("w").alias("_w"), F.max("h").alias("_h"))
     moved = points.crossJoin(F.broadcast(cell))  # one row
     return moved.withColumns({"x": F.col("x") + (F.col(block) % columns) * (F.col("_w") + gap), "y": F.col("y") + F.floor(F.col(block) / columns) * (F.col("_h") + gap)}).drop("_w", "_h")
+
+
+def block_tuples(df: DataFrame, outer: str, inner: str) -> DataFrame:
+    """A list of lists the other way round: the n-th inner blocks of all outer ones together; both numbered from 0 in order."""
+    from fieldloom.operators.tables import global_rank
+
+    ids = lambda c, out: global_rank(df.select(c).distinct(), [F.col(c)], out)
+    return df.join(ids(inner, "block_id"), inner).join(ids(outer, "tuple_id"), outer)

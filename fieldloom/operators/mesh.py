@@ -39,12 +39,19 @@ def neighbour_average(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 def smooth(points: DataFrame, edges: DataFrame, passes: int = 1, mask: str | None = None) -> DataFrame:
     """Jacobi passes: each value becomes the mean of itself and its neighbours; a mask of 0 freezes it."""
+    return smooth_fields(points, edges, ["v"], passes, mask)
+
+
+def smooth_fields(points: DataFrame, edges: DataFrame, fields: list[str], passes: int = 1, mask: str | None = None) -> DataFrame:
+    """The same for several fields at once; with x, y and z, the geometry is smoothed."""
     for _ in range(passes):
-        sums = neighbour_values(points, edges).groupBy("vid").agg(F.sum("nv").alias("_s"), F.count("*").alias("_n"))
-        mean = (F.col("v") + F.coalesce("_s", F.lit(0.0))) / (1 + F.coalesce("_n", F.lit(0)))
-        if mask:
-            mean = F.when(F.col(mask) == 0, F.col("v")).otherwise(mean)
-        points = written(points.join(sums, "vid", "left").withColumn("v", mean.cast("double")).drop("_s", "_n"), "smooth")
+        theirs = points.select(F.col("vid").alias("nvid"), *[F.col(c).alias(f"_{c}") for c in fields])
+        sums = edges.join(theirs, "nvid").groupBy("vid").agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in fields], F.count("*").alias("_n"))
+        means = {}
+        for c in fields:
+            mean = ((F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))) / (1 + F.coalesce("_n", F.lit(0)))).cast("double")
+            means[c] = F.when(F.col(mask) == 0, F.col(c)).otherwise(mean) if mask else mean
+        points = written(points.join(sums, "vid", "left").withColumns(means).drop("_n", *[f"_{c}" for c in fields]), "smooth")
     return points
 
 
@@ -135,39 +142,54 @@ def steepest(points: DataFrame, edges: DataFrame, up: bool = True) -> DataFrame:
     return points.join(near, "vid", "left").select("vid", F.when(further, F.col("b.nvid")).otherwise(F.col("vid")).alias("next"))
 
 
-def jump(pointers: DataFrame, rounds: int = 60) -> DataFrame:
-    """(vid, next) with each pointer followed to its end, by doubling."""
+def jump(pointers: DataFrame) -> DataFrame:
+    """(vid, next and any column more) with each pointer followed to its end; a round takes it four times as far.
+
+    Pointers that run in a circle have no end, and are an error.
+    """
     now = written(pointers, "jump")
-    for _ in range(rounds):
+    for _ in range(40):  # 4 ** 40 steps are more than any table's
         ahead = now.select(F.col("vid").alias("next"), F.col("next").alias("far"))
-        new = written(now.join(ahead, "next").select("vid", F.col("far").alias("next"), (F.col("far") != F.col("next")).alias("moved")), "jump")
+        twice = now.join(ahead, "next").withColumnsRenamed({"next": "was", "far": "next"})
+        new = written(twice.join(ahead, "next").withColumn("moved", F.col("far") != F.col("was")).drop("next", "was").withColumnRenamed("far", "next"), "jump")
+        now = new.drop("moved")
         if new.where("moved").isEmpty():
-            break
-        now = new.select("vid", "next")
-    return now
+            return now.select(*pointers.columns)
+    raise ValueError("pointers run in a circle")
 
 
 def path_compression(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(vid, AscendingManifold, DescendingManifold): the minimum and the maximum that steepest paths reach."""
-    low = jump(steepest(points, edges, up=False)).withColumnRenamed("next", "AscendingManifold")
-    high = jump(steepest(points, edges, up=True)).withColumnRenamed("next", "DescendingManifold")
-    return low.join(high, "vid")
+    """(vid, AscendingManifold, DescendingManifold): the minimum and the maximum that steepest paths reach.
+
+    Both directions are followed in one table: a vertex stands in it once for each, its pointers apart.
+    """
+    end = lambda up: steepest(points, edges, up).select(F.struct(F.lit(up).alias("up"), F.col("vid").alias("x")).alias("vid"), F.struct(F.lit(up).alias("up"), F.col("next").alias("x")).alias("next"))
+    ends = jump(end(False).unionByName(end(True))).groupBy(F.col("vid.x").alias("vid"))
+    to = lambda up: F.max(F.when(F.col("vid.up") == up, F.col("next.x")))
+    return ends.agg(to(False).alias("AscendingManifold"), to(True).alias("DescendingManifold"))
+
+
+def follow(starts: DataFrame, pointers: DataFrame) -> DataFrame:
+    """(every column of starts, step): starts (id, vid) and all that their pointers (vid, next) lead to, in as many joins as a path's length has bits."""
+    leap = written(pointers.where("vid <> next").select("vid", "next"), "leap")
+    leaps = []
+    while not leap.isEmpty():
+        leaps.append(leap)
+        leap = written(leap.join(leap.select(F.col("vid").alias("next"), F.col("next").alias("far")), "next").select("vid", F.col("far").alias("next")), "leap")
+    lines = starts.withColumn("step", F.lit(0).cast("long"))
+    for n in range(len(leaps) - 1, -1, -1):
+        further = lines.join(leaps[n], "vid").withColumns({"vid": F.col("next"), "step": F.col("step") + (1 << n)}).drop("next")
+        lines = written(lines.unionByName(further), "lines")
+    return lines
 
 
-def integral_lines(points: DataFrame, edges: DataFrame, seeds: list[int], up: bool = True, most: int = 10_000) -> DataFrame:
+def integral_lines(points: DataFrame, edges: DataFrame, seeds: list[int], up: bool = True) -> DataFrame:
     """(SeedIdentifier, step, vid): the steepest path from each seed to its extremum."""
-    pointers = written(steepest(points, edges, up), "pointers")
-    front = pointers.where(F.col("vid").isin(seeds)).select(F.col("vid").alias("SeedIdentifier"), F.lit(0).alias("step"), "vid")
-    lines = front
-    for _ in range(most):
-        front = written(front.join(pointers, "vid").where("vid <> next").select("SeedIdentifier", (F.col("step") + 1).alias("step"), F.col("next").alias("vid")), "line")
-        if front.isEmpty():
-            break
-        lines = lines.unionByName(front)
-    return lines
+    starts = points.where(F.col("vid").isin(seeds)).select(F.col("vid").alias("SeedIdentifier"), "vid")
+    return follow(starts, steepest(points, edges, up)).select("SeedIdentifier", "step", "vid")
 
 
-def distance_field(points: DataFrame, edges: DataFrame, sources: list[int], length: Column | None = None, rounds: int = 10_000) -> DataFrame:
+def distance_field(points: DataFrame, edges: DataFrame, sources: list[int], length: Column | None = None) -> DataFrame:
     """(vid, distance, source): shortest path lengths over edges to the nearest source; ties go to the least source.
 
     Rounds of relaxation from the vertices that changed last; length is an expression over edge columns.
@@ -175,7 +197,7 @@ def distance_field(points: DataFrame, edges: DataFrame, sources: list[int], leng
     weighted = written(edges.withColumn("_l", F.lit(1.0) if length is None else length).select("vid", "nvid", "_l"), "lengths")
     best = points.where(F.col("vid").isin(sources)).select("vid", F.struct(F.lit(0.0).alias("d"), F.col("vid").alias("s")).alias("b"))
     best = changed = written(best, "distance")
-    for _ in range(rounds):
+    while True:
         reached = changed.join(weighted, "vid").select(F.col("nvid").alias("vid"), F.struct((F.col("b.d") + F.col("_l")).alias("d"), F.col("b.s").alias("s")).alias("n"))
         reached = reached.groupBy("vid").agg(F.min("n").alias("n"))
         both = best.join(reached, "vid", "full").select("vid", F.least("b", "n").alias("b"), (F.col("b").isNull() | (F.col("n") < F.col("b"))).alias("moved"))

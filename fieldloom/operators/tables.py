@@ -130,7 +130,7 @@ def order_array(df: DataFrame, name: str, key: str) -> DataFrame:
 
 def randomize_identifiers(df: DataFrame, name: str, seed: int = 0) -> DataFrame:
     """Replaces ids by a seeded permutation of the distinct ones, compacted to 0..k-1."""
-    codes = global_rank(df.select(name).distinct(), [F.xxhash64(name, F.lit(seed)), F.col(name)], "_new")
+    codes = global_rank(df.select(name).distinct(), [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(name).cast("string"))), F.col(name)], "_new")
     return df.join(codes, name).withColumn(name, F.col("_new")).drop("_new")
 
 

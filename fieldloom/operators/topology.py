@@ -6,14 +6,18 @@ Vertices are compared by (value, vid) throughout.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.operators import complexes, mesh
+from fieldloom.session import written
+
+#: Tables of one row for each dataset are broadcast up to this many rows (a few dozen bytes each).
+BROADCAST_ROWS = 100_000
+
 DIAGRAM = "dataset long, birth_vertex long, death_vertex long, PairType int, Birth double, Death double, IsFinite boolean"
 TREE = "dataset long, NodeId long, VertexId long, CriticalType int, Scalar double, parent long, RegionSize long"
 
@@ -46,36 +50,86 @@ def _graph(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, list[in
     return ids, pdf["v"].to_numpy(float), {i: [place[n] for n in nbrs if n in place] for i, nbrs in enumerate(pdf["nbrs"])}
 
 
-def diagram_of(ids: np.ndarray, values: np.ndarray, neighbours: dict[int, list[int]], rising: bool) -> Iterable[tuple]:
-    """(birth vertex, death vertex, type, birth, death, finite): pairs of extrema and saddles of sub- or superlevel sets."""
-    order = np.lexsort((ids, values)) if rising else np.lexsort((ids, values))[::-1]
-    eldest = -1
-    for x, met in _sweep(values, order, neighbours):
-        if not met and eldest < 0:
-            eldest = x
-        for y in met[1:]:
-            pair = (y, x) if rising else (x, y)
-            yield int(ids[pair[0]]), int(ids[pair[1]]), 0 if rising else 1, float(values[pair[0]]), float(values[pair[1]]), True
-    if rising and eldest >= 0:
-        top = int(np.lexsort((ids, values))[-1])
-        yield int(ids[eldest]), int(ids[top]), 0, float(values[eldest]), float(values[top]), False
-
-
 def with_neighbours(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(dataset, vid, v, nbrs): each vertex with its neighbours' ids."""
     near = edges.groupBy("dataset", "vid").agg(F.collect_set("nvid").alias("nbrs"))  # a vertex's own neighbours
     return points.join(near, ["dataset", "vid"], "left").select("dataset", "vid", "v", F.coalesce("nbrs", F.expr("cast(array() as array<bigint>)")).alias("nbrs"))
 
 
+def _keyed(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same with (dataset, vid) as one id, so that operators on one mesh run over all datasets at once."""
+    key = lambda c: F.struct("dataset", F.col(c).alias("vid"))
+    return points.select(key("vid").alias("vid"), "v"), edges.select(key("vid").alias("vid"), key("nvid").alias("nvid"))
+
+
+LINKS = "a long, av double, b long, bv double, s long, sv double"
+
+
+def extremum_links(points: DataFrame, edges: DataFrame, up: bool) -> DataFrame:
+    """(dataset, a, av, b, bv, s, sv): the extrema, and for each two whose basins touch the vertex s where they first do.
+
+    The basins are those of steepest paths, so a table of vertices shrinks to one of extrema; a row without b is an
+    extremum alone.
+    """
+    own, links = _keyed(points, edges)
+    ends = mesh.jump(mesh.steepest(own, links, up)).join(own, "vid").select("vid", "v", "next")
+    ends = written(ends, "basins")
+    side = lambda v, e, m: ends.select(F.col("vid").alias(v), F.struct("v", "vid").alias(e), F.col("next").alias(m))
+    both = links.join(side("vid", "e", "a"), "vid").join(side("nvid", "f", "b"), "nvid").where("a < b")
+    at = F.min(F.greatest("e", "f")) if not up else F.max(F.least("e", "f"))
+    touch = both.groupBy("a", "b").agg(at.alias("s"))
+    value = ends.where("vid = next").select("vid", "v")
+    touch = touch.join(value.withColumnsRenamed({"vid": "a", "v": "av"}), "a").join(value.withColumnsRenamed({"vid": "b", "v": "bv"}), "b")
+    touch = touch.select("a.dataset", F.col("a.vid").alias("a"), "av", F.col("b.vid").alias("b"), "bv", F.col("s.vid.vid").alias("s"), F.col("s.v").alias("sv"))
+    alone = value.select("vid.dataset", F.col("vid.vid").alias("a"), F.col("v").alias("av"))
+    return touch.unionByName(alone, allowMissingColumns=True)
+
+
+def _elder(pdf: pd.DataFrame, up: bool) -> list[tuple]:
+    """(younger extremum, its value, where it ends, that value) by the elder rule; s is None for those that never end."""
+    sign = -1 if up else 1
+    key = lambda v, i: (sign * v, sign * i)
+    age = {int(a): key(v, int(a)) for a, v in zip(pdf["a"], pdf["av"], strict=True)}
+    value = dict(zip(pdf["a"].astype(int), pdf["av"], strict=True))
+    root = {a: a for a in age}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out, real = [], pdf[pdf["b"].notna()]
+    links = sorted(zip(real["a"].astype(int), real["b"].astype(int), real["s"].astype(int), real["sv"], strict=True), key=lambda r: key(r[3], r[2]))
+    for a, b, s, sv in links:
+        a, b = sorted((find(a), find(b)), key=age.__getitem__)
+        if a != b:
+            root[b] = a
+            out.append((b, value[b], s, sv))
+    return out + [(a, value[a], None, None) for a in age if find(a) == a]
+
+
 def persistence_diagram(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """Minimum-saddle pairs (type 0, with the global pair, which isn't finite) and saddle-maximum pairs (type 1) of each dataset."""
+    """Minimum-saddle pairs (type 0) and saddle-maximum pairs (type 1) of the join and split trees of each dataset.
+
+    A component's least minimum is paired with the dataset's global maximum, and that pair isn't finite. Only the
+    extrema and the places where their basins touch meet in a task for each dataset.
+    """
+    top = points.groupBy("dataset").agg(F.max(F.struct("v", "vid")).alias("_t")).select("dataset", F.col("_t.vid").alias("top"), F.col("_t.v").alias("topv"))
+    columns = [c.split()[0] for c in DIAGRAM.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, values, near = _graph(pdf)
-        rows = [(pdf["dataset"].iloc[0], *r) for rising in (True, False) for r in diagram_of(ids, values, near, rising)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in DIAGRAM.split(", ")])
+        rows, set_id = [], int(pdf["dataset"].iloc[0])
+        for rising in (True, False):
+            for x, v, s, sv in _elder(pdf[pdf["up"] != rising], not rising):
+                if s is not None:
+                    rows.append((set_id, x, s, 0, v, sv, True) if rising else (set_id, s, x, 1, sv, v, True))
+                elif rising:
+                    rows.append((set_id, x, int(pdf["top"].iloc[0]), 0, v, float(pdf["topv"].iloc[0]), False))
+        return pd.DataFrame(rows, columns=columns)
 
-    return with_neighbours(points, edges).groupBy("dataset").applyInPandas(run, DIAGRAM)
+    links = extremum_links(points, edges, False).withColumn("up", F.lit(False)).unionByName(extremum_links(points, edges, True).withColumn("up", F.lit(True)))
+    return links.join(F.broadcast(top) if top.count() <= BROADCAST_ROWS else top, "dataset").groupBy("dataset").applyInPandas(run, DIAGRAM)
 
 
 def persistence_curve(diagram: DataFrame, by: list[str]) -> DataFrame:
@@ -118,27 +172,53 @@ def merge_tree(points: DataFrame, edges: DataFrame, rising: bool = True) -> Data
     return with_neighbours(points, edges).groupBy("dataset").applyInPandas(run, TREE)
 
 
-def simplify(points: DataFrame, edges: DataFrame, least: float) -> DataFrame:
-    """(dataset, vid, v): minima of persistence under `least` are filled up to their saddle, maxima cut down to theirs."""
+def _flatten(points: DataFrame, edges: DataFrame, choose) -> DataFrame:
+    """(dataset, vid, v): minima, then maxima, that `choose(pdf, rising)` drops are flattened."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, values, near = _graph(pdf)
+        lists = [near[i] for i in range(len(ids))]
         for rising in (True, False):
-            order = np.lexsort((ids, values)) if rising else np.lexsort((ids, values))[::-1]
-            member = {x: [x] for x in range(len(ids))}
-            for x, met in _sweep(values.copy(), order, near):
-                for y in met[1:]:
-                    if abs(values[x] - values[y]) < least:
-                        values[member[y]] = np.maximum(values[member[y]], values[x]) if rising else np.minimum(values[member[y]], values[x])
-                for y in met[1:]:
-                    member[met[0]] += member[y]
-                if met:
-                    member[met[0]].append(x)
+            dropped = choose(ids, values, lists, rising)
+            if dropped is not None:
+                values = complexes.flattened(values, ids, lists, rising, dropped)
         return pd.DataFrame({"dataset": pdf["dataset"].iloc[0], "vid": ids, "v": values})
 
     return with_neighbours(points, edges).groupBy("dataset").applyInPandas(run, "dataset long, vid long, v double")
 
 
+def simplify(points: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """(dataset, vid, v): minima of persistence under `least` are filled up to their saddle, maxima cut down to theirs."""
+
+    def choose(ids: np.ndarray, values: np.ndarray, near: list[list[int]], rising: bool):  # noqa: ARG001
+        return lambda x, met: ({y for y in met[1:] if abs(values[x] - values[y]) < least}, met[0])
+
+    return _flatten(points, edges, choose)
+
+
+def simplify_to(points: DataFrame, edges: DataFrame, kept: list[int]) -> DataFrame:
+    """(dataset, vid, v): minima and maxima whose vertices aren't listed are flattened to the saddle where they end.
+
+    A side of which no extremum is listed stays as it is. Of components that meet, those without a listed extremum end.
+    """
+    listed = frozenset(kept)
+
+    def choose(ids: np.ndarray, values: np.ndarray, near: list[list[int]], rising: bool):
+        place = list(zip(values.tolist(), ids.tolist(), strict=True))
+        first = lambda i: all((place[i] < place[j]) == rising for j in near[i])
+        wanted = {i for i, v in enumerate(ids.tolist()) if v in listed and first(i)}
+        if not wanted:
+            return None
+
+        def dropped(x: int, met: list[int]) -> tuple[set[int], int]:  # noqa: ARG001
+            good = [y for y in met if y in wanted]
+            return ({y for y in met if y not in wanted} if good else set(), (good or met)[0])
+
+        return dropped
+
+    return _flatten(points, edges, choose)
+
+
 def assign(cost: np.ndarray) -> np.ndarray:
     """The column of each row in a least-cost assignment (rows at most columns), by shortest augmenting paths."""
     n, m = cost.shape
@@ -179,15 +259,17 @@ def wasserstein(a: np.ndarray, b: np.ndarray, p: float = 2.0) -> float:
     return float(cost[np.arange(n + m), assign(cost)].sum() ** (1 / p))
 
 
-def most_persistent(diagram: DataFrame, k: int = 20) -> DataFrame:
-    """(dataset, PairType, pairs): the k most persistent pairs of each dataset and type, as the distances use them."""
+def most_persistent(diagram: DataFrame, k: int | None = 20) -> DataFrame:
+    """(dataset, PairType, pairs): the k most persistent pairs of each dataset and type, or all where k is None."""
+    if k is None:
+        return diagram.where("Death > Birth").groupBy("dataset", "PairType").agg(F.sort_array(F.collect_list(F.array("Birth", "Death"))).alias("pairs"))
     rank = F.row_number().over(W.partitionBy("dataset", "PairType").orderBy((F.col("Death") - F.col("Birth")).desc(), "birth_vertex", "death_vertex"))
     top = diagram.where("Death > Birth").withColumn("_r", rank).where(F.col("_r") <= k)
     return top.groupBy("dataset", "PairType").agg(F.sort_array(F.collect_list(F.array("Birth", "Death"))).alias("pairs"))  # k at most
 
 
-def diagram_distance_matrix(diagram: DataFrame, k: int = 20, p: float = 2.0) -> DataFrame:
-    """(i, j, d), i < j: Wasserstein distances of the k most persistent pairs, summed over pair types."""
+def diagram_distance_matrix(diagram: DataFrame, k: int | None = None, p: float = 2.0) -> DataFrame:
+    """(i, j, d), i < j: Wasserstein distances of all pairs, or of the k most persistent, summed over pair types."""
     own = most_persistent(diagram, k)
     every = diagram.select("dataset").distinct()
     kinds = own.select("PairType").distinct()
@@ -219,8 +301,6 @@ def overlap_branches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     A branch goes on to a node's largest successor, where the node is that one's largest predecessor.
     """
-    from fieldloom.operators.mesh import jump
-
     name = lambda t, label: F.concat_ws(":", t.cast("string"), label.cast("string"))
     best = lambda key, other: F.max_by(F.struct("SequenceIndex", "a", "b"), F.struct("Overlap", other))  # noqa: E731, ARG005
     follows = edges.groupBy("SequenceIndex", "a").agg(best("a", "b").alias("e")).select("e.*")
@@ -229,8 +309,4 @@ def overlap_branches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     back = kept.select(name(F.col("SequenceIndex") + 1, F.col("b")).alias("vid"), name(F.col("SequenceIndex"), F.col("a")).alias("next"))
     all_nodes = nodes.select("SequenceIndex", "Label", name(F.col("SequenceIndex"), F.col("Label")).alias("vid"))
     pointers = all_nodes.join(back, "vid", "left").select("vid", F.coalesce("next", "vid").alias("next"))
-    return all_nodes.join(jump(pointers), "vid").select("SequenceIndex", "Label", F.col("next").alias("head"))
-
-
-def persistence(birth: Column, death: Column) -> Column:
-    return death - birth
+    return all_nodes.join(mesh.jump(pointers), "vid").select("SequenceIndex", "Label", F.col("next").alias("head"))

@@ -1,5 +1,5 @@
 """Named queries; importing the package registers them."""
 
-from fieldloom.plans import registry, tabular, topological
+from fieldloom.plans import geometric, registry, relational, selection, tabular, topological
 
-__all__ = ["registry", "tabular", "topological"]
+__all__ = ["geometric", "registry", "relational", "selection", "tabular", "topological"]

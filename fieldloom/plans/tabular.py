@@ -144,7 +144,7 @@ def ensemble_histogram(spark, d):
 
 
 _VECTORS = "SELECT vec_id, embedding FROM embeddings"
-_DISTANCES = f"e AS ({_VECTORS}), m AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM e a JOIN e b ON a.vec_id < b.vec_id)"
+_DISTANCES = f"e AS ({_VECTORS}), m AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM e a JOIN e b ON a.vec_id < b.vec_id)"
 
 
 def _distances(spark, d):
@@ -162,7 +162,7 @@ def matrix_to_heat_map(spark, d):
     return out.withColumns({c: F.round(c, 5) for c in ("Distance", "Proximity")})
 
 
-@register("rips_triangles", f'WITH {_DISTANCES}, n AS (SELECT * FROM m WHERE d <= 1.2) SELECT x.i AS a, x.j AS b, y.j AS c, round(greatest(x.d, y.d, z.d), 5) AS "Diameter" FROM n x JOIN n y ON x.i = y.i AND x.j < y.j JOIN n z ON z.i = x.j AND z.j = y.j')
+@register("rips_triangles", f'WITH {_DISTANCES}, n AS MATERIALIZED (SELECT * FROM m WHERE d <= 1.2) SELECT x.i AS a, x.j AS b, y.j AS c, round(greatest(x.d, y.d, z.d), 5) AS "Diameter" FROM n x JOIN n y ON x.i = y.i AND x.j < y.j JOIN n z ON z.i = x.j AND z.j = y.j')
 def rips_triangles(spark, d):
     return metrics.rips_triangles(_distances(spark, d), 1.2).withColumn("Diameter", F.round("Diameter", 5)).select("a", "b", "c", "Diameter")
 

@@ -70,12 +70,14 @@ def connected_components(spark, d):
     return mesh.connected_components(points, edges, ranked)
 
 
-@register("distance_field")
+@register("distance_field", f"""WITH {_GRID}, src AS (SELECT vid AS s, i AS si, j AS sj FROM g WHERE vid IN (0, {NX * NY - 1}, {NX * 25 + 40})), d AS (SELECT vid, s, CASE WHEN (i - si) * (j - sj) >= 0 THEN abs(i - si) + abs(j - sj) ELSE greatest(abs(i - si), abs(j - sj)) END::DOUBLE AS d FROM g, src)
+SELECT vid, d AS distance, s AS source FROM d QUALIFY row_number() OVER (PARTITION BY vid ORDER BY d, s) = 1""")
 def distance_field(spark, d):
     return mesh.distance_field(*grid(spark, d), [0, NX * NY - 1, NX * 25 + 40])
 
 
-@register("integral_lines")
+@register("integral_lines", f"""WITH RECURSIVE {_GRID}, hi AS (SELECT vid, CASE WHEN (max(row(nv, nvid))) > row(any_value(v), vid) THEN arg_max(nvid, row(nv, nvid)) ELSE vid END AS nx FROM n GROUP BY vid),
+l(s, step, vid) AS (SELECT vid, 0::BIGINT, vid FROM g WHERE vid IN (0, 1000, 2500) UNION ALL SELECT l.s, l.step + 1, hi.nx FROM l JOIN hi USING (vid) WHERE hi.nx <> l.vid) SELECT s AS "SeedIdentifier", step, vid FROM l""")
 def integral_lines(spark, d):
     return mesh.integral_lines(*grid(spark, d), [0, 1000, 2500])
 
@@ -85,8 +87,16 @@ def persistence_diagram_grid(spark, d):
     return topology.persistence_diagram(*dataset(*grid(spark, d)))
 
 
-@register("persistence_curve")
+@register("persistence_curve", 'WITH p AS (SELECT c_nationkey % 3 AS "PairType", round(greatest(max(o_totalprice) - min(o_totalprice), 1e-6), 2) AS "Persistence" FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey) SELECT DISTINCT a."PairType", a."Persistence", (SELECT count(*) FROM p b WHERE b."PairType" = a."PairType" AND b."Persistence" >= a."Persistence") AS "NumberOfPairs" FROM p a WHERE a."Persistence" > 0')
 def persistence_curve(spark, d):
+    """The curve of a diagram of customers: their least and greatest orders as birth and death."""
+    orders = read_table(spark, d, "orders").join(read_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    pairs = orders.groupBy("c_custkey", (F.col("c_nationkey") % 3).alias("PairType")).agg(F.round(F.max("o_totalprice") - F.min("o_totalprice"), 2).alias("Persistence"))
+    return topology.persistence_curve(pairs, ["PairType"]).withColumn("Persistence", F.round("Persistence", 2)).where("Persistence > 0")
+
+
+@register("persistence_curve_grid")
+def persistence_curve_grid(spark, d):
     diagram = persistence_diagram_grid(spark, d).withColumn("Persistence", F.col("Death") - F.col("Birth"))
     return topology.persistence_curve(diagram, ["PairType"])
 
@@ -131,7 +141,11 @@ def tracking_overlap_edges(spark, d):
     return topology.overlap_edges(_tracked(spark, d), "t", "event_type", "user_id")
 
 
-@register("tracking_overlap_branches")
+@register("tracking_overlap_branches", f"""WITH RECURSIVE {_TRACK}, e AS (SELECT x.t AS t, x.l AS a, y.l AS b, count(*) AS n FROM t x JOIN t y ON y.t = x.t + 1 AND x.p = y.p GROUP BY ALL),
+f AS (SELECT t, a, b FROM e QUALIFY row_number() OVER (PARTITION BY t, a ORDER BY n DESC, b DESC) = 1), l AS (SELECT t, a, b FROM e QUALIFY row_number() OVER (PARTITION BY t, b ORDER BY n DESC, a DESC) = 1),
+k AS (SELECT f.t + 1 AS t, f.b AS l, f.a AS before FROM f JOIN l ON f.t = l.t AND f.a = l.a AND f.b = l.b), nodes AS (SELECT DISTINCT t, l FROM t),
+h(t, l, head) AS (SELECT t, l, concat(t, ':', l) FROM nodes WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.t = nodes.t AND k.l = nodes.l) UNION ALL SELECT k.t, k.l, h.head FROM h JOIN k ON k.t = h.t + 1 AND k.before = h.l)
+SELECT t AS "SequenceIndex", l AS "Label", head FROM h""")
 def tracking_overlap_branches(spark, d):
     df = written(_tracked(spark, d), "tracked")
     return topology.overlap_branches(topology.overlap_nodes(df, "t", "event_type", "user_id"), topology.overlap_edges(df, "t", "event_type", "user_id"))

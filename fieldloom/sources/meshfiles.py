@@ -1,7 +1,9 @@
-"""Mesh files: OFF is read and written, OBJ is written; derived tables are kept as parquet."""
+"""Mesh files: OFF is read and written, OBJ and VRML are written; derived tables are kept as parquet."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,20 @@ def obj_lines(points: DataFrame, cells: DataFrame) -> DataFrame:
     return body.unionByName(faces)
 
 
+def wrl_lines(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """(n, value): the numbered lines of a VRML scene with one face set; with columns tex_u and tex_v, texture coordinates too."""
+    spark = points.sparkSession
+    nv, nc = points.count(), cells.count()
+    line = lambda n, text: spark.createDataFrame([(n, text)], "n long, value string")
+    parts = [line(0, "#VRML V2.0 utf8"), line(1, "Shape { geometry IndexedFaceSet { solid FALSE coord Coordinate { point ["), points.select((F.col("vid") + 2).alias("n"), F.concat(F.concat_ws(" ", "x", "y", "z"), F.lit(",")).alias("value"))]
+    at = 2 + nv
+    if {"tex_u", "tex_v"} <= set(points.columns):
+        parts += [line(at, "] } texCoord TextureCoordinate { point ["), points.select((F.col("vid") + at + 1).alias("n"), F.concat(F.concat_ws(" ", "tex_u", "tex_v"), F.lit(",")).alias("value"))]
+        at += 1 + nv
+    parts += [line(at, "] } coordIndex ["), cells.select((F.col("cid") + at + 1).alias("n"), F.concat(F.array_join(F.col("verts").cast("array<string>"), ", "), F.lit(", -1,")).alias("value")), line(at + 1 + nc, "] } }")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """One text file, its lines in order: the format has no parts."""
     lines.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(path)
