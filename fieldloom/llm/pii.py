@@ -56,14 +56,17 @@ CONTEXT = 24
 CUES = "(?i)(phone|tel|call|mobile|fax|mail|contact|ssn|social|passport|iban|account|konto|compte|cuenta)"
 
 
-def spans(text: Column, p: Pattern) -> Column:
+def spans(text: Column, p: Pattern, check=None) -> Column:
     """Leftmost non-overlapping matches as structs (a, m): start and matched text. Two passes of one
-    pattern give the pieces between matches and the matches; starts are their running lengths."""
+    pattern give the pieces between matches and the matches; starts are their running lengths. Matches
+    that fail the check are passed over before a list is made, so that many of them cost no copies."""
     pieces, found = F.split(text, p.regex), F.regexp_extract_all(text, F.lit(p.regex), 0)
     pairs = F.zip_with(pieces, found, lambda before, m: F.struct(F.length(before).alias("gap"), m.alias("m")))
     pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<a:int,m:string>>)").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("a"), x["m"].alias("m"))).alias("out"))
+    more = lambda acc, x: F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("a"), x["m"].alias("m")))
+    kept = lambda acc, x: more(acc, x) if check is None else F.when(check(x["m"]), more(acc, x)).otherwise(acc["out"])
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["m"])).alias("at"), kept(acc, x).alias("out"))
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
@@ -95,12 +98,8 @@ def base_spans(df: DataFrame) -> DataFrame:
     none = F.expr("cast(array() as array<struct<a:int,m:string>>)")
     for p in BASE:
         gate = F.contains("text", F.lit(p.gate)) if p.gate else F.col("text").rlike("[0-9][\\x20-]?[0-9]")
-        df = df.withColumn(p.kind, F.when(gate, spans(F.col("text"), p)).otherwise(none))
-    return df.withColumns({p.kind: _kept(p.kind) for p in BASE})
-
-
-def _kept(kind: str) -> Column:
-    return F.filter(kind, lambda x: valid(kind, x["m"]))
+        df = df.withColumn(p.kind, F.when(gate, spans(F.col("text"), p, None if p.kind == "email" else lambda m, kind=p.kind: valid(kind, m))).otherwise(none))
+    return df
 
 
 # --- boosted trees -------------------------------------------------------------------------
