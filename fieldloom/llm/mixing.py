@@ -95,12 +95,13 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     Rows equal in id, source and text get the most copies of any of them.
     """
-    key = "_mix_key"
-    keyed = docs.withColumn(key, row_key(docs["doc_id"], docs["source"], docs["text"]))
-    taken = mix(keyed, keep=(key,)).where("copies > 0").groupBy(key).agg(F.max("copies").cast("int").alias("_copies"))
+    key = row_key(docs["doc_id"], docs["source"], docs["text"])
+    # Rows are kept whole in one column, so that no name of theirs meets one of these.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
+    taken = mix(docs.select("doc_id", "source", "text", key.alias("key")), keep=("key",)).where("copies > 0").groupBy("key").agg(F.max("copies").cast("int").alias("copies"))
     taken = stored(taken, "taken")
-    both = keyed.join(_small(taken, taken.count()), key)
-    return both.withColumn("_copy", F.explode_outer(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    both = rows.join(_small(taken, taken.count()), "key")
+    return both.withColumn("copy", F.explode_outer(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
