@@ -42,12 +42,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows contaminated by benchmark items go. Each text is judged by itself: rows without id go too, and of rows that share an id only those go whose own text is contaminated."""
-    key = "_text_key"
+    """Rows with a full window of a benchmark item go, and those contaminated by shorter items. Each text is judged by itself: rows without id go too, and of rows that share an id only those go whose own text is contaminated."""
     found = decontaminate.contamination(docs.select(row_key(docs["text"]).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
-    keys = stored(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "decided")
-    keyed = docs.withColumn(key, row_key(docs["text"]))
-    return keyed.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, key, "left_anti").select(*docs.columns)
+    keys = stored(found.where("contaminated OR full_window").select(F.col("doc_id").alias("key")).distinct(), "decided")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key(docs["text"]).alias("key"))
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "key", "left_anti").select("row.*")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
