@@ -7,6 +7,8 @@ fixpoint is written to the shared folder, which cuts its lineage.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -198,8 +200,12 @@ def distance_field(points: DataFrame, edges: DataFrame, sources: list[int], leng
     best = points.where(F.col("vid").isin(sources)).select("vid", F.struct(F.lit(0.0).alias("d"), F.col("vid").alias("s")).alias("b"))
     best = changed = written(best, "distance")
     while True:
-        reached = changed.join(weighted, "vid").select(F.col("nvid").alias("vid"), F.struct((F.col("b.d") + F.col("_l")).alias("d"), F.col("b.s").alias("s")).alias("n"))
-        reached = reached.groupBy("vid").agg(F.min("n").alias("n"))
+        # Three steps a round: fewer rounds, each of which ends in a table.
+        steps = [changed.withColumnRenamed("b", "n")]
+        for _ in range(3):
+            on = steps[-1].join(weighted, "vid").select(F.col("nvid").alias("vid"), F.struct((F.col("n.d") + F.col("_l")).alias("d"), F.col("n.s").alias("s")).alias("n"))
+            steps.append(on.groupBy("vid").agg(F.min("n").alias("n")))
+        reached = reduce(DataFrame.unionByName, steps[1:]).groupBy("vid").agg(F.min("n").alias("n"))
         both = best.join(reached, "vid", "full").select("vid", F.least("b", "n").alias("b"), (F.col("b").isNull() | (F.col("n") < F.col("b"))).alias("moved"))
         both = written(both.withColumn("moved", F.coalesce("moved", F.lit(False))), "distance")
         best, changed = both.select("vid", "b"), both.where("moved").select("vid", "b")

@@ -76,11 +76,11 @@ def triangulation_round_trip(spark, d):
     return spark.createDataFrame([tuple(tables[n].count() for n in ("points", "cells", "edges", "boundary"))], "points long, cells long, edges long, boundary long")
 
 
-@register("barycentric_subdivision", f"WITH {_GRID}, {_P}, {_T}, {_SIDES}, f AS (SELECT x, y, z FROM p UNION ALL SELECT (a.x + b.x) / 2, (a.y + b.y) / 2, (a.z + b.z) / 2 FROM (SELECT DISTINCT u, w FROM sd) JOIN p a ON a.vid = u JOIN p b ON b.vid = w UNION ALL SELECT (x.x + y.x + w.x) / 3, (x.y + y.y + w.y) / 3, (x.z + y.z + w.z) / 3 FROM t JOIN p x ON x.vid = a JOIN p y ON y.vid = b JOIN p w ON w.vid = c) SELECT round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM f")
+@register("barycentric_subdivision", f"WITH {_GRID}, {_P}, {_T}, {_SIDES}, f AS (SELECT x, y, z FROM p UNION ALL SELECT (a.x + b.x) / 2, (a.y + b.y) / 2, (a.z + b.z) / 2 FROM (SELECT DISTINCT u, w FROM sd) JOIN p a ON a.vid = u JOIN p b ON b.vid = w UNION ALL SELECT (x.x + y.x + w.x) / 3, (x.y + y.y + w.y) / 3, (x.z + y.z + w.z) / 3 FROM t JOIN p x ON x.vid = a JOIN p y ON y.vid = b JOIN p w ON w.vid = c) SELECT round(x, 7) AS x, round(y, 7) AS y, round(z, 7) AS z FROM f")
 def barycentric_subdivision(spark, d):
     points, cells, _ = surface(spark, d)
     fine, _ = triangulation.barycentric_subdivision(points.select("vid", "x", "y", "z"), cells)
-    return fine.select(*[F.round(c, 5).alias(c) for c in "xyz"])
+    return fine.select(*[F.round(c, 7).alias(c) for c in "xyz"])
 
 
 @register("mesh_subdivision", f"WITH {_GRID}, {_P}, {_T} SELECT round((p.x + (q.x + p.x) / 2 + (p.x + q.x + r.x) / 3 + (p.x + r.x) / 2) / 4, 5) AS x, round((p.y + (q.y + p.y) / 2 + (p.y + q.y + r.y) / 3 + (p.y + r.y) / 2) / 4, 5) AS y FROM (SELECT a AS k, b AS l, c AS m FROM t UNION ALL SELECT b, a, c FROM t UNION ALL SELECT c, a, b FROM t) JOIN p ON p.vid = k JOIN p q ON q.vid = l JOIN p r ON r.vid = m")
