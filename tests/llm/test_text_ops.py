@@ -13,6 +13,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, licenses, linededup, minhash, mixing, pii, quality, queries, secrets, suffixdedup, tokenfile
+from fieldloom.llm.common import stored
 
 DIR = "/root/testdata/sf0.001"
 PASSAGE = "a passage of more than fifty bytes that stands in several of these texts again"
@@ -61,7 +62,8 @@ def test_suffix_dedup(spark, docs):
             if first.setdefault(b[p : p + 50], i) < i:
                 cover[p : p + 50] = b"\1" * 50
         kept = bytes(c for c, k in zip(b, cover, strict=True) if not k)
-        assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(b), sum(cover), hashlib.sha256(kept).hexdigest())
+        spans = sum(c and not (p and cover[p - 1]) for p, c in enumerate(cover))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), sum(cover), spans, hashlib.sha256(kept).hexdigest())
 
 
 def test_token_file(spark, docs):
@@ -75,6 +77,57 @@ def test_token_file(spark, docs):
         at += len(ids)
 
 
+def test_encoder_of_odd_texts():
+    """Marks, digits, special tokens and letters that change under normalisation, with a small cache."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own, encoder, r = Tokenizer.from_file(tokenfile.vocabulary()), tokenfile.encoder(tokenfile.vocabulary()), random.Random(1)
+    parts = ["a", "b", "Z", "é", "ß", "'", "'s", "'re", "!", "3", " ", "\n", "\u0301", "\u0338", "=", "<", "İ", "J", "\u030c", "中", "<|startoftext|>", "|>", "\x00", "…", "×", "</w>", "😀"]
+    most = tokenfile.CACHE_WORDS
+    tokenfile.CACHE_WORDS = 500
+    try:
+        for _ in range(20):
+            texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(50)] + [None]
+            ids, lengths = encoder.encode(pa.array(texts), 2)
+            want = [[*own.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+            assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+            again = tokenfile.TextEncoder(own).encode(pa.array(texts), 2)
+            assert again[0].tolist() == ids.tolist() and again[1].tolist() == lengths.tolist()
+    finally:
+        tokenfile.CACHE_WORDS = most
+
+
+def test_filters_on_quality(spark, odd):
+    rows = quality.judge(odd)
+    assert rows.where("NOT kept").count() + rows.where("kept").count() == len(ODD)
+
+
+def test_remove_spans(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, None), (3, "alpha beta gamma")], "item_id long, text string")
+    passage = "One two three four five six seven-eight nine ten eleven twelve thirteen"
+    rows = [(1, f"A. {passage}; tail of it"), (1, "clean Text, here."), (None, "!! ALPHA beta  gamma. And More"), (2, None), (2, ""), (3, "alpha beta gamma alpha beta gamma")]
+    got = [(r.doc_id, r.text) for r in decontaminate.remove_spans(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()]
+    want = [(1, "A. tail of it"), (1, "clean Text, here."), (None, "!! And More"), (2, None), (2, ""), (3, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    found = {r.doc_id: r.full_window for r in decontaminate.contamination(spark.createDataFrame([(1, "word " * 400 + passage), (3, "alpha beta gamma")], "doc_id long, text string"), items).collect()}
+    assert found == {1: True, 3: False}
+
+
+def test_mix_of_clashing_names(spark):
+    docs = spark.createDataFrame([Row(doc_id=i, source="a" if i % 3 else None, text="word " * (5 + i), key=1, copies=2, copy=3, row=4, taken=5) for i in range(12)], "doc_id long, source string, text string, key int, copies int, copy int, row int, taken int")
+    assert mixing.repeated(docs).columns == docs.columns
+    first, again = (sorted((r.doc_id, r.taken, r.target) for r in mixing.mix(docs).collect()) for _ in range(2))
+    assert first == again and all(t <= 3 * 20 * 20 for _, t, _ in first)
+
+
+def test_many_failing_matches(spark):
+    rows = spark.createDataFrame([(1, "12a " * 20_000), (2, "a@b.co " * 200)], "doc_id long, text string")
+    assert {r.doc_id: len(r.base) for r in pii.find_personal(rows).collect()} == {1: 0, 2: 200}
+
+
 def brute_personal(text: str) -> list[tuple[str, int, int]]:
     luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
     digits = lambda m: re.sub("[^0-9]", "", m[0])
@@ -179,7 +232,7 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    good = corpus_pipeline.quality_rules(spark, docs, DIR)
+    good = stored(corpus_pipeline.quality_rules(spark, docs, DIR), "good")
     kept = {r.doc_id for r in quality.judge(docs).where("kept").select("doc_id").collect()}
     assert {r.doc_id for r in good.select("doc_id").collect()} == kept and good.columns == docs.columns
     groups = minhash.near_groups(good, 5, 80).collect()
