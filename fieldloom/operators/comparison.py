@@ -184,13 +184,7 @@ def cluster_diagrams(diagram: DataFrame, k: int, limit: int | None = 20, rounds:
         tagged = own.join(F.broadcast(spark.createDataFrame(list(label.items()), "dataset long, c int")), "dataset")
         size = {c: sum(x == c for x in label.values()) for c in range(len(centres))}
 
-        def middle(pdf: pd.DataFrame, size=size) -> pd.DataFrame:
-            lists = [_rows(x) for x in pdf["pairs"]]
-            lists += [np.zeros((0, 2))] * (size[int(pdf["c"].iloc[0])] - len(lists))
-            b = barycenter(lists)
-            return pd.DataFrame({"c": int(pdf["c"].iloc[0]), "t": int(pdf["PairType"].iloc[0]), "b": b[:, 0], "d": b[:, 1]})
-
-        rows = tagged.groupBy("c", "PairType").applyInPandas(middle, "c int, t int, b double, d double").collect()  # the centroids
+        rows = tagged.groupBy("c", "PairType").applyInPandas(_middle(size), "c int, t int, b double, d double").collect()  # the centroids
         made: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for r in rows:
             made[r.c][r.t].append((r.b, r.d))
@@ -199,6 +193,18 @@ def cluster_diagrams(diagram: DataFrame, k: int, limit: int | None = 20, rounds:
     return spark.createDataFrame([(n, label[n]) for n in names], "dataset long, ClusterId int"), spark.createDataFrame(centroid, "ClusterId int, PairType int, Birth double, Death double")
 
 
+def _middle(size: dict[int, int]):
+    """The barycentre of one cluster's pairs of a type; members without such pairs count as empty diagrams."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lists = [_rows(x) for x in pdf["pairs"]]
+        lists += [np.zeros((0, 2))] * (size[int(pdf["c"].iloc[0])] - len(lists))
+        b = barycenter(lists)
+        return pd.DataFrame({"c": int(pdf["c"].iloc[0]), "t": int(pdf["PairType"].iloc[0]), "b": b[:, 0], "d": b[:, 1]})
+
+    return run
+
+
 def principal_geodesics(diagram: DataFrame, axes: int = 2, limit: int | None = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Barycentre (n, PairType, Birth, Death), axes (n, axis, db, dd) and coefficients (dataset, axis, coefficient) of a set of diagrams.
 

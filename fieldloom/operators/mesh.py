@@ -149,15 +149,18 @@ def jump(pointers: DataFrame) -> DataFrame:
 
     Pointers that run in a circle have no end, and are an error.
     """
-    now = written(pointers, "jump")
+    now = first = written(pointers, "jump")
     for _ in range(40):  # 4 ** 40 steps are more than any table's
         ahead = now.select(F.col("vid").alias("next"), F.col("next").alias("far"))
         twice = now.join(ahead, "next").withColumnsRenamed({"next": "was", "far": "next"})
         new = written(twice.join(ahead, "next").withColumn("moved", F.col("far") != F.col("was")).drop("next", "was").withColumnRenamed("far", "next"), "jump")
         now = new.drop("moved")
         if new.where("moved").isEmpty():
-            return now.select(*pointers.columns)
-    raise ValueError("pointers run in a circle")
+            break
+    ends = first.where("vid = next").select("vid")
+    if not now.select(F.col("next").alias("vid")).join(ends, "vid", "left_anti").isEmpty():
+        raise ValueError("pointers run in a circle")
+    return now.select(*pointers.columns)
 
 
 def path_compression(points: DataFrame, edges: DataFrame) -> DataFrame:

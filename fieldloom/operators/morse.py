@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,21 +41,21 @@ def discrete_gradient(points: DataFrame, cells: DataFrame, dimension: int = 2) -
     stars = every.groupBy(F.get("key", 0).alias("x")).agg(F.collect_list("key").alias("star"))  # a vertex's own star
     rows = points.select(F.struct("v", "vid").alias("x")).join(stars, "x", "left").select("x.vid", F.coalesce("star", F.expr("cast(array() as array<array<struct<v:double,vid:bigint>>>)")).alias("star"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("cell", pa.list_(pa.int64())), ("dim", pa.int32()), ("pair", pa.list_(pa.int64())), ("top", pa.int64())])
+        for batch in batches:
             out = []
-            for x, star in zip(pdf["vid"], pdf["star"], strict=True):
-                star = [[(p["v"], p["vid"]) for p in s] for s in star]
+            for row in batch.to_pylist():
+                star = [[(p["v"], p["vid"]) for p in s] for s in row["star"]]
                 names = sorted({p for s in star for p in s})
                 rank = {p: i for i, p in enumerate(names)}
-                top = len(names) - 1 if names else 0
-                back = [p[1] for p in names] or [x]
-                name = lambda s, back=back: sorted(int(back[i]) for i in s)
-                for cell, pair in complexes.lower_star_gradient(top, [tuple(rank[p] for p in s) for s in star]):
-                    out.append((name(cell), len(cell) - 1, name(pair) if pair else None, int(x)))
-            yield pd.DataFrame(out, columns=["cell", "dim", "pair", "top"])
+                back = [p[1] for p in names] or [row["vid"]]
+                name = lambda s, back=back: sorted(back[i] for i in s)
+                for cell, pair in complexes.lower_star_gradient(len(back) - 1, [tuple(rank[p] for p in s) for s in star]):
+                    out.append({"cell": name(cell), "dim": len(cell) - 1, "pair": name(pair) if pair else None, "top": row["vid"]})
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    return rows.mapInPandas(run, GRADIENT)
+    return rows.mapInArrow(run, GRADIENT)
 
 
 def morse_smale(points: DataFrame, cells: DataFrame) -> dict[str, DataFrame]:
@@ -199,22 +200,21 @@ def manifold_persistence(segmentation: DataFrame, diagram: DataFrame, manifold:
     return segmentation.join(own, manifold, "left").select(*segmentation.columns, F.col("_p.Persistence").alias("Persistence"), F.col("_p.PairType").alias("PairType"))
 
 
-ARCS = "dataset long, SegmentationId long, downNodeId long, upNodeId long, RegionSize long"
-
-
 def contour_tree(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Arcs (dataset, SegmentationId, downNodeId, upNodeId, RegionSize) and segmentation (dataset, vid, SegmentationId) of each dataset's contour tree; nodes are vertex ids."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, values, near = topology._graph(pdf)
         arcs, arc_of = complexes.contour_tree(values, ids, [near[i] for i in range(len(ids))])
-        low, high = (np.array([a[k] for a in arcs] or [0]) for k in (0, 1))
-        known = arc_of >= 0
-        return pd.DataFrame({"dataset": pdf["dataset"].iloc[0], "vid": ids, "SegmentationId": arc_of, "downNodeId": np.where(known, ids[low[arc_of]], ids), "upNodeId": np.where(known, ids[high[arc_of]], ids)})
+        rows = [(int(ids[x]), int(k), None, None) for x, k in enumerate(arc_of)]
+        rows += [(None, k, int(ids[a]), int(ids[b])) for k, (a, b) in enumerate(arcs)]
+        made = pd.DataFrame([(int(pdf["dataset"].iloc[0]), *r) for r in rows], columns=["dataset", "vid", "SegmentationId", "downNodeId", "upNodeId"])
+        return made.astype({c: "Int64" for c in made.columns})
 
     made = written(topology.with_neighbours(points, edges).groupBy("dataset").applyInPandas(run, "dataset long, vid long, SegmentationId long, downNodeId long, upNodeId long"), "contour")
-    arcs = made.where("SegmentationId >= 0").groupBy("dataset", "SegmentationId", "downNodeId", "upNodeId").agg(F.count("*").alias("RegionSize"))
-    return arcs.select("dataset", "SegmentationId", "downNodeId", "upNodeId", "RegionSize"), made.select("dataset", "vid", "SegmentationId")
+    size = made.where("vid IS NOT NULL").groupBy("dataset", "SegmentationId").agg(F.count("*").alias("RegionSize"))
+    arcs = made.where("vid IS NULL").drop("vid").join(size, ["dataset", "SegmentationId"], "left").withColumn("RegionSize", F.coalesce("RegionSize", F.lit(0)).cast("long"))
+    return arcs.select("dataset", "SegmentationId", "downNodeId", "upNodeId", "RegionSize"), made.where("vid IS NOT NULL").select("dataset", "vid", "SegmentationId")
 
 
 # --- bivariate fields ----------------------------------------------------------------------
@@ -239,7 +239,7 @@ def jacobi_set(points: DataFrame, cells: DataFrame, u: str, v: str) -> DataFrame
 
 def _corners(points: DataFrame, cells: DataFrame, size: int, fields: tuple[str, ...]) -> DataFrame:
     """cid and the structs p0, p1, ... of a face's corners."""
-    own = points.select(F.col("vid").alias("_v"), F.struct(*[F.col(c).cast("double").alias(c) for c in fields]).alias("_p"))
+    own = points.select(F.col("vid").alias("_v"), F.struct(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys(fields)]).alias("_p"))
     df = faces(cells, size).select("cid", "face", *[F.get("face", i).alias(f"p{i}") for i in range(size)])
     for i in range(size):
         df = df.join(own, F.col(f"p{i}") == F.col("_v")).withColumn(f"p{i}", F.col("_p")).drop("_v", "_p")
