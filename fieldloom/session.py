@@ -31,6 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not given:
         given = spark.sparkContext.getCheckpointDir()
     if not given:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         given = "file://" + os.path.join(tempfile.gettempdir(), "fieldloom-shared")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(given)

@@ -13,7 +13,7 @@ DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def sql():
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "3GB"})
     for f in os.listdir(DIR):
         con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM read_parquet('{DIR}/{f}')")
     return con
