@@ -28,7 +28,7 @@ _shared("exists_subquery", "SELECT c_custkey FROM {0} c WHERE EXISTS (SELECT 1 F
 _shared("common_table_expression", "WITH t AS (SELECT o_custkey AS k, sum(o_totalprice) AS total FROM {0} GROUP BY o_custkey), m AS (SELECT avg(total) AS mean FROM t) SELECT k, round(total, 2) AS total FROM t, m WHERE total > 1.5 * mean", "orders")
 _shared("recursive_expression", "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT) AS n, CAST(1 AS BIGINT) AS f UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT r_regionkey, n, f FROM t, {0}", "region")
 _shared("string_functions", "SELECT p_partkey, upper(p_name) AS up, substr(p_type, 2, 4) AS mid, length(p_name) AS n, replace(p_brand, '#', '-') AS brand, concat(p_brand, '/', p_type) AS both, trim(concat('  ', p_type, ' ')) AS bare, lower(p_type) LIKE '%eco%' AS eco FROM {0}", "part")
-_shared("date_functions", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, CAST(date_trunc('month', o_orderdate) AS DATE) AS first, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS later FROM {0}", "orders")
+_shared("date_functions", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS STRING) AS first, CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS STRING) AS later FROM {0}", "orders")
 _shared("math_functions", "SELECT c_custkey, abs(c_acctbal) AS a, floor(c_acctbal) AS f, round(sqrt(abs(c_acctbal)), 6) AS s, round(power(abs(c_acctbal), 0.25), 6) AS p, round(ln(1 + abs(c_acctbal)), 6) AS l, c_custkey % 7 AS m, sign(c_acctbal) AS g, greatest(c_acctbal, 0) AS pos FROM {0}", "customer")
 _shared("conditional_functions", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'O'), 'open') AS status FROM {0}", "orders")
 _shared("aggregates_having", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS d, min(l_shipdate) AS a, max(l_shipdate) AS b, count(DISTINCT l_suppkey) AS s FROM {0} GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10", "lineitem")
