@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -56,6 +57,37 @@ CONTEXT = 24
 CUES = "(?i)(phone|tel|call|mobile|fax|mail|contact|ssn|social|passport|iban|account|konto|compte|cuenta)"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often it is read."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(items: Column, advance: Callable, emit: Callable, kind: str, keep: Callable | None = None) -> Column:
+    """emit(at, x) of each item x in order, or of those that keep(x) holds for; `at` is an int that begins
+    as 0 and moves to advance(at, x) after x. `kind` is the SQL type of what is emitted.
+
+    An append copies its list, so lists grow in groups of about the square root of their number:
+    n items cost n ** 1.5 copies of references, not n ** 2.
+    """
+    begin = lambda at, of: F.struct(at.alias("at"), F.expr(f"cast(array() as array<{of}>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        more = F.array_append(acc["out"], emit(acc["at"], x))
+        return F.struct(advance(acc["at"], x).alias("at"), (more if keep is None else F.when(keep(x), more).otherwise(acc["out"])).alias("out"))
+
+    def grouped(every: Column) -> Column:
+        size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(every))).cast("int"))
+        last = F.greatest(F.floor((F.size(every) - 1) / size).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda g: F.slice(every, g * size + 1, size))
+
+    def folded(groups: Column) -> Column:
+        past = lambda acc, g: F.struct(F.aggregate(g, acc["at"], advance).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        starts = F.aggregate(groups, begin(F.lit(0), "int"), past, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(groups, starts, lambda g, at: F.aggregate(g, begin(at, kind), step, lambda acc: acc["out"])))
+
+    return _bound(_bound(items, grouped), folded)
+
+
 def spans(text: Column, p: Pattern, check=None) -> Column:
     """Leftmost non-overlapping matches as structs (a, m): start and matched text. Two passes of one
     pattern give the pieces between matches and the matches; starts are their running lengths. Matches
@@ -63,11 +95,13 @@ def spans(text: Column, p: Pattern, check=None) -> Column:
     pieces, found = F.split(text, p.regex), F.regexp_extract_all(text, F.lit(p.regex), 0)
     pairs = F.zip_with(pieces, found, lambda before, m: F.struct(F.length(before).alias("gap"), m.alias("m")))
     pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<a:int,m:string>>)").alias("out"))
-    more = lambda acc, x: F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("a"), x["m"].alias("m")))
-    kept = lambda acc, x: more(acc, x) if check is None else F.when(check(x["m"]), more(acc, x)).otherwise(acc["out"])
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["m"])).alias("at"), kept(acc, x).alias("out"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return running(
+        pairs,
+        lambda at, x: at + x["gap"] + F.length(x["m"]),
+        lambda at, x: F.struct((at + x["gap"]).alias("a"), x["m"].alias("m")),
+        "struct<a:int,m:string>",
+        check and (lambda x: check(x["m"])),
+    )
 
 
 def _digits(m: Column) -> Column:
@@ -289,15 +323,14 @@ def redact(docs: DataFrame, mask: str = "█") -> DataFrame:
     """doc_id and the text with every selected span replaced by as many mask characters."""
     found = find_personal(docs)
     all_spans = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = F.greatest(acc["at"], x["a"])
-        plain = F.substring("text", acc["at"] + 1, a - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["b"]).alias("at"), F.concat(acc["out"], plain, F.repeat(F.lit(mask), F.greatest(x["b"] - a, F.lit(0)))).alias("out"))
+    def piece(at: Column, x: Column) -> Column:
+        a = F.greatest(at, x["a"])
+        return F.concat(F.substring("text", at + 1, a - at), F.repeat(F.lit(mask), F.greatest(x["b"] - a, F.lit(0))))
 
-    done = F.aggregate(all_spans, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    return found.select("doc_id", done.alias("text"))
+    pieces = running(all_spans, lambda at, x: F.greatest(at, x["b"]), piece, "string")
+    end = F.coalesce(F.array_max(F.transform(all_spans, lambda x: x["b"])), F.lit(0))
+    return found.select("doc_id", F.concat(F.array_join(pieces, ""), F.substring("text", end + 1, F.length("text"))).alias("text"))
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
