@@ -3,8 +3,8 @@
 Base spans come from four fixed patterns with checks (email, ip, card, phone) and always stay.
 High-recall generators propose further, possibly overlapping spans; each gets format and context
 features, boosted trees (trained here on a fixed set of labelled examples, compiled into one SQL
-expression) score it, and it is redacted where its score reaches a threshold calibrated for
-precision on held-out examples.
+expression) score it, and it is redacted where its score reaches its generator's threshold,
+calibrated for precision on templates that the trees are not fit to.
 
 Defined results: null and empty texts have no spans; rows are judged one by one, so repeated rows
 get equal results and an empty table an empty one; texts are read whole; further columns are
@@ -174,30 +174,86 @@ def column_features(generator: int, m: Column, before: Column, after: Column) ->
     }
 
 
-def examples(n: int = 600, seed: int = 7) -> list[tuple[list[float], int]]:
-    """Labelled candidates from fixed templates: personal ones with usual formats and cues, and numbers that aren't."""
+@dataclass(frozen=True)
+class Template:
+    """A form of candidates of one generator: its text, what stands before and after it, and whether it is personal.
+    Written with # for a digit, @ for a capital, ~ for a word; alternatives are drawn from tuples."""
+
+    generator: int
+    text: str
+    before: tuple[str, ...]
+    after: tuple[str, ...]
+    personal: int
+    #: Trees are fit to the first part, thresholds calibrated on the second; neither sees the test part.
+    part: str = "fit"
+
+
+_CALL = ("call ", "phone: ", "tel. ", "my mobile is ", "contact ")
+_END = (" ", ".", ",")
+TEMPLATES = (
+    Template(0, "~.~ (at) ~.com", ("~ ", "mail ", "write to "), (" ", "."), 1),
+    Template(0, "~[at]~ [dot] org", ("~ ", "contact: "), (" ", ","), 1),
+    Template(0, "~ (at) ##.##", ("~ ", "sold "), (" ", "."), 0),
+    Template(0, "# [at] ###.##", ("~ ",), (" each",), 0),
+    Template(0, "~.~(at)~(dot)~(dot)de", ("~ ", "e-mail: "), (" ", ")"), 1, "calibrate"),
+    Template(0, "## (at) #.##", ("~ ",), (" ", ","), 0, "calibrate"),
+    Template(1, "(###) ###-####", _CALL, _END, 1),
+    Template(1, "###-###-####", _CALL, _END, 1),
+    Template(1, "#### ### ####", ("fax ", "tel "), _END, 1),
+    Template(1, "(##) #### ####", _CALL, _END, 1),
+    Template(1, "### ### ####", _CALL, _END, 1),
+    Template(1, "####.###.###", _CALL, _END, 1),
+    Template(1, "## ### ###", ("~ ",), (" km", " "), 0),
+    Template(1, "####-###-###", ("~ ",), _END, 0),
+    Template(1, "####.####.####", ("~ ",), _END, 0),
+    Template(1, "### ### ###", ("~ ",), (" ",), 0),
+    Template(1, "####.###.####", ("~ v", "~ "), (" ", "-"), 0),
+    Template(1, "#### #### ####", ("~ #### ",), (" ####",), 0),
+    Template(1, "###-###-####", ("~ ##-",), ("-##",), 0),
+    Template(1, "###.###.####", _CALL, _END, 1, "calibrate"),
+    Template(1, "## #### ####", ("fax: ", "telephone "), _END, 1, "calibrate"),
+    Template(1, "####-###-###", ("order ", "isbn "), _END, 0, "calibrate"),
+    Template(1, "## ### ###", ("total ", "about "), (" euro", " "), 0, "calibrate"),
+    Template(2, "###-##-####", ("ssn ", "social security ", "ssn: "), (" ", "."), 1),
+    Template(2, "###-##-####", ("~ ", "~ ~ "), (" ", "."), 0),
+    Template(2, "###-##-####", ("SSN is ", "Social: "), (",", ";"), 1, "calibrate"),
+    Template(2, "###-##-####", ("part no. ", "ref "), (" ", ","), 0, "calibrate"),
+    Template(3, "DE## #### #### #### #### ##", ("iban ", "konto ", "~ "), (" ",), 1),
+    Template(3, "FR################", ("iban: ", "compte "), (" ",), 1),
+    Template(3, "@@##@@@@@@@@@@@@@@@@", ("~ ",), (" ",), 0),
+    Template(3, "@@## @@@@ @@@@ @@@@", ("~ ", "key "), (" ",), 0),
+    Template(3, "NL## @@@@ #### #### ##", ("iban ", "account "), (" ", "."), 1, "calibrate"),
+    Template(3, "@@##@@##@@##@@##@@##", ("~ ", "serial "), (" ",), 0, "calibrate"),
+    Template(0, "~-~ [at] ~.co.uk", ("~ ", "reach me: "), (" ", "."), 1, "test"),
+    Template(0, "# (at) #.#.#", ("~ ", "build "), (" ", ","), 0, "test"),
+    Template(1, "(##) ### ####", ("cell: ", "mobile "), _END, 1, "calibrate"),
+    Template(1, "#### ### ###", ("ring ", "phone "), _END, 1, "calibrate"),
+    Template(1, "####.####.####", ("serial ", "~ "), _END, 0, "calibrate"),
+    Template(1, "#### ### ###", ("code ", "item "), _END, 0, "calibrate"),
+    Template(1, "###.###.###", ("fax ", "my phone: "), _END, 1, "test"),
+    Template(1, "(####) ### ####", ("call me on ", "tel: "), _END, 1, "test"),
+    Template(1, "###-####-###", ("sku ", "~ "), _END, 0, "test"),
+    Template(1, "##.####.####", ("version ", "~ "), _END, 0, "test"),
+    Template(2, "###-##-####", ("my social is ", "SSN "), (" ", "."), 1, "test"),
+    Template(2, "###-##-####", ("lot ", "~ "), ("/", " "), 0, "test"),
+    Template(3, "GB## @@@@ #### #### #### ##", ("iban: ", "pay to "), (" ", "."), 1, "test"),
+    Template(3, "@@## #### #### ####", ("licence ", "~ "), (" ", ","), 0, "test"),
+)
+
+
+def examples(n: int = 250, seed: int = 7, part: str = "fit") -> list[tuple[list[float], int]]:
+    """n labelled candidates of each template of a part."""
     r = random.Random(seed)
-    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    marks = {"#": "0123456789", "@": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
     word = lambda: "".join(r.choice("abcdeilnorst") for _ in range(r.randint(3, 8)))
-    cue = lambda: r.choice(("call ", "phone: ", "tel. ", "my mobile is ", "contact "))
+    fill = lambda form: "".join(r.choice(marks[c]) if c in marks else word() if c == "~" else c for c in form)
     out = []
     for _ in range(n):
-        at, dot = r.choice((" (at) ", "(at)", " [at] ")), r.choice((".", " (dot) ", " [dot] "))
-        out += [
-            (0, f"{word()}.{word()}{at}{word()}{dot}com", r.choice((f"{word()} ", "mail ")), " ", 1),
-            (1, f"({d(3)}) {d(3)}-{d(4)}", cue(), r.choice((" ", ".", ",")), 1),
-            (1, f"{d(3)}-{d(3)}-{d(4)}", cue(), r.choice((" ", ".", ",")), 1),
-            (1, f"{d(3)} {d(3)} {d(3)}", f"{word()} ", " ", 0),
-            (1, f"{d(4)}.{d(3)}.{d(4)}", r.choice((f"{word()} v", f"{word()} ")), r.choice((" ", "-")), 0),
-            (1, f"{d(4)} {d(4)} {d(4)}", f"{word()} {d(4)} ", f" {d(4)}", 0),
-            (1, f"{d(3)}-{d(3)}-{d(4)}", f"{word()} {d(2)}-", f"-{d(2)}", 0),
-            (2, f"{d(3)}-{d(2)}-{d(4)}", r.choice(("ssn ", "social security ", "ssn: ")), r.choice((" ", ".")), 1),
-            (2, f"{d(3)}-{d(2)}-{d(4)}", f"{word()} ", " ", 0),
-            (3, f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", r.choice(("iban ", "konto ", f"{word()} ")), " ", 1),
-            (3, f"FR{d(2)}{d(4)}{d(4)}{d(4)}{d(4)}", r.choice(("iban: ", "compte ")), " ", 1),
-            (3, "".join(r.choice("ABCDEFGH") for _ in range(2)) + d(2) + "".join(r.choice("ABCDEFGHIJKLMNOP") for _ in range(16)), f"{word()} ", " ", 0),
-        ]
-    return [(python_features(g, m, before[-CONTEXT:], after[:CONTEXT]), y) for g, m, before, after, y in out]
+        for t in TEMPLATES:
+            if t.part == part:
+                m, before, after = fill(t.text), fill(r.choice(t.before)), fill(r.choice(t.after))
+                out.append((python_features(t.generator, m, before[-CONTEXT:], after[:CONTEXT]), t.personal))
+    return out
 
 
 def _best_split(rows: list[tuple[list[float], float, float]]) -> tuple[float, int, float] | None:
@@ -236,26 +292,36 @@ def score(trees: tuple, x: list[float]) -> float:
 
 
 @cache
-def model(rounds: int = 12, depth: int = 3, precision: float = 0.99) -> tuple[tuple, float]:
-    """Trees fit to two thirds of the examples, and the lowest score that has the wanted precision on the rest."""
-    data = examples()
-    fit, held = [x for i, x in enumerate(data) if (i // 12) % 3], [x for i, x in enumerate(data) if not (i // 12) % 3]
+def model(rounds: int = 12, depth: int = 3, precision: float = 0.95) -> tuple[tuple, tuple[float, ...]]:
+    """Trees fit to the examples, and for each generator the lowest score above 0 with the wanted precision on
+    its calibration templates; infinite, so that nothing is selected, where no score has it."""
+    data, held = examples(), examples(100, seed=8, part="calibrate")
     trees: list = []
-    raw = [0.0] * len(fit)
+    raw = [0.0] * len(data)
     for _ in range(rounds):
         rows = []
-        for s, (x, y) in zip(raw, fit, strict=True):
+        for s, (x, y) in zip(raw, data, strict=True):
             p = 1 / (1 + math.exp(-s))
             rows.append((x, y - p, p * (1 - p)))
         trees.append(_grow(rows, depth))
-        raw = [s + score((trees[-1],), x) for s, (x, _) in zip(raw, fit, strict=True)]
-    ranked = sorted(((score(tuple(trees), x), y) for x, y in held), reverse=True)
-    threshold, good = ranked[0][0], 0
-    for n, (s, y) in enumerate(ranked, 1):
-        good += y
-        if good / n >= precision:
-            threshold = s
-    return tuple(trees), max(threshold, 0.0)
+        raw = [s + score((trees[-1],), x) for s, (x, _) in zip(raw, data, strict=True)]
+    scored = [(x[-1], score(tuple(trees), x), y) for x, y in held]
+    return tuple(trees), tuple(_threshold([(s, y) for g, s, y in scored if g == n], precision) for n in range(len(GENERATORS)))
+
+
+def _threshold(scored: list[tuple[float, int]], precision: float) -> float:
+    """The lowest score above 0 from which on the share of personal examples reaches the precision."""
+    best = math.inf
+    for cut in {s for s, _ in scored if s > 0}:
+        chosen = [y for s, y in scored if s >= cut]
+        if sum(chosen) >= precision * len(chosen):
+            best = min(best, cut)
+    return best
+
+
+def selected(trees: tuple, thresholds: tuple[float, ...], x: list[float]) -> bool:
+    """Whether the trees select a candidate with these features."""
+    return score(trees, x) >= thresholds[int(x[-1])]
 
 
 def compiled(trees: tuple, features: dict[str, Column]) -> Column:
@@ -273,7 +339,7 @@ def compiled(trees: tuple, features: dict[str, Column]) -> Column:
 
 def further_spans(df: DataFrame) -> DataFrame:
     """Adds `more`: structs (kind, a, b) of the candidates that the trees select and no base span overlaps."""
-    trees, threshold = model()
+    trees, thresholds = model()
     none = F.expr("cast(array() as array<struct<kind:string,a:int,b:int>>)")
     parts = []
     for n, p in enumerate(GENERATORS):
@@ -282,7 +348,7 @@ def further_spans(df: DataFrame) -> DataFrame:
         df = df.withColumn(f"_c{n}", found)
         # The features of a candidate are bound before the trees read them again and again.
         df = df.withColumn(f"_f{n}", _featured(n))
-        parts.append(F.coalesce(_selected(n, p, trees, threshold), none))
+        parts.append(F.coalesce(_selected(n, p, trees, thresholds[n]), none))
     return df.withColumn("more", F.concat(*parts)).drop(*[f"_{c}{n}" for c in "cf" for n in range(len(GENERATORS))])
 
 
