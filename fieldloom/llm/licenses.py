@@ -13,8 +13,8 @@ Defined results: null and empty texts have no notices; a null path is in no fold
 by path, id and text, so repeated rows get equal results; ties go to the first template, then the
 first path; an empty table gives an empty result; further columns are ignored. Texts are read whole.
 A whole text counts as a notice. Identifiers ending in -only, -or-later or + stand under the table's
-name, and a GNU title without a version under none. Where `whole` is off, only TEMPLATES and their
-cosines decide, as in SQL, which states that table; the registered query does so.
+name, and a GNU title without a version under none. SQL states TEMPLATES and their cosines alone, so
+it equals the query where no text has a tag, a title or a notice of MORE, or is a licence's own text.
 """
 
 from __future__ import annotations
@@ -173,28 +173,25 @@ def has_cue(words: Column) -> Column:
     return F.arrays_overlap(words, F.array(*map(F.lit, CUES)))
 
 
-def notices(files: DataFrame, tags: bool = False) -> DataFrame:
-    """(k, unit, words) and, with tags, (tag): the notices of all files (k, text)."""
+def notices(files: DataFrame) -> DataFrame:
+    """(k, unit, words, tag): the notices of all files (k, text)."""
     gated = files.where(F.col("text").rlike(CUE_GATE))
     lines, blocks = F.split("text", "\n"), F.filter(F.split("text", "\n[\\x20\\x09-\\x0D]*\n"), lambda b: F.contains(b, F.lit("\n")))
     units = F.filter(F.concat(lines, blocks), lambda x: x.rlike(CUE_GATE))
-    if tags:
-        split = gated.select("k", F.posexplode_outer(units).alias("unit", "x")).select("k", "unit", normal_words(F.col("x")).alias("words"), tagged(F.col("x")).alias("tag"))
-    else:
-        split = gated.select("k", F.posexplode_outer(F.transform(units, normal_words)).alias("unit", "words"))
+    split = gated.select("k", F.posexplode_outer(units).alias("unit", "x")).select("k", "unit", normal_words(F.col("x")).alias("words"), tagged(F.col("x")).alias("tag"))
     return split.where(has_cue(F.col("words"))).dropDuplicates(["k", "unit"])
 
 
-def scored(files: DataFrame, total: int, whole: bool = True) -> DataFrame:
+def scored(files: DataFrame, total: int) -> DataFrame:
     """(k, n_notices, licence, score) of files with a recognised notice, of `total` files."""
-    own = templates(files.sparkSession, TEMPLATES + MORE if whole else TEMPLATES)
+    own = templates(files.sparkSession, TEMPLATES + MORE)
     idf, other = term_weights(files, own, total)
     vectors = own.join(F.broadcast(idf), "term").withColumn("v", F.col("tf") * F.col("idf"))
     norms = vectors.groupBy("t").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     vectors = vectors.join(F.broadcast(norms), "t").select("t", "licence", "term", (F.col("v") / F.col("norm")).alias("w"))
 
-    said = notices(files, whole)
-    terms = (said.where("tag IS NULL") if whole else said).select("k", "unit", F.explode_outer("words").alias("term")).groupBy("k", "unit", "term").agg(F.count("*").alias("tf"))
+    said = stored(notices(files), "notices")
+    terms = said.where("tag IS NULL").select("k", "unit", F.explode_outer("words").alias("term")).groupBy("k", "unit", "term").agg(F.count("*").alias("tf"))
     terms = terms.join(F.broadcast(idf), "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", other))
     units = terms.groupBy("k", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.array_compact(F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "v")))).alias("known"))
     dots = units.select("k", "unit", "norm", F.explode_outer("known").alias("x")).select("k", "unit", "norm", "x.*").join(F.broadcast(vectors), "term")
@@ -202,28 +199,26 @@ def scored(files: DataFrame, total: int, whole: bool = True) -> DataFrame:
     cosines = cosines.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= THRESHOLD)
     best = lambda *key: F.max_by(F.struct("licence", "score"), F.struct("score", *[-F.col(c) for c in key]))
     per_unit = cosines.groupBy("k", "unit").agg(best("t").alias("b")).select("k", "unit", "b.*")
-    if whole:
-        tags = said.where("tag <> ''").select("k", "unit", F.col("tag").alias("licence"), F.lit(1.0).alias("score"))
-        per_unit = per_unit.where("licence IS NOT NULL").unionByName(tags)
-        # A score of 2 more puts the whole text before any notice.
-        texts = whole_matches(files).select("k", F.lit(-1).alias("unit"), "licence", (F.col("score") + 2).alias("score"))
-        found = per_unit.unionByName(texts).groupBy("k").agg(F.count("*").alias("n_notices"), best("unit").alias("b")).select("k", "n_notices", "b.*")
-        return found.withColumn("score", F.when(F.col("score") > 2, F.round(F.col("score") - 2, 6)).otherwise(F.col("score")))
-    return per_unit.groupBy("k").agg(F.count("*").alias("n_notices"), best("unit").alias("b")).select("k", "n_notices", "b.*")
+    tags = said.where("tag <> ''").select("k", "unit", F.col("tag").alias("licence"), F.lit(1.0).alias("score"))
+    # A score of 2 more puts the whole text before any notice.
+    texts = whole_matches(files).select("k", F.lit(-1).alias("unit"), "licence", (F.col("score") + 2).alias("score"))
+    found = per_unit.where("licence IS NOT NULL").unionByName(tags).unionByName(texts)
+    found = found.groupBy("k").agg(F.count("*").alias("n_notices"), best("unit").alias("b")).select("k", "n_notices", "b.*")
+    return found.withColumn("score", F.when(F.col("score") > 2, F.round(F.col("score") - 2, 6)).otherwise(F.col("score")))
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def scan(files: DataFrame, whole: bool = True) -> DataFrame:
+def scan(files: DataFrame) -> DataFrame:
     """doc_id, path, n_notices, own_licence, score, licence and licence_dir (where it comes from, for inherited ones) for each row of files (doc_id, path, text)."""
     rows = files.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.withColumn("k", row_key(F.col("doc_id"), F.col("path"), F.col("text")))
     parts = F.split("path", "/")
     # All that is needed of a file beside its text, so that texts are read for their notices and terms alone.
     heads = stored(keyed.select("k", "doc_id", "path", F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/").alias("dir"), F.element_at(parts, -1).rlike(LICENSE_NAMES).alias("names")), "heads")
-    found = stored(scored(keyed.select("k", "text"), heads.count(), whole), "licences")
+    found = stored(scored(keyed.select("k", "text"), heads.count()), "licences")
     own = heads.join(found, "k", "left")
 
     lone = own.where(F.col("names") & F.col("licence").isNotNull() & F.col("path").isNotNull())
@@ -259,7 +254,7 @@ def with_paths(docs: DataFrame) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan(with_paths(documents(spark, sf_dir)), whole=False)
+    out = scan(with_paths(documents(spark, sf_dir)))
     return out.withColumn("score", F.round(1000 * F.col("score")).cast("long"))
 
 

@@ -243,6 +243,16 @@ def test_license_headers_and_files(spark):
     assert [(text[:60], got[i]) for i, (text, _) in enumerate(said)] == [(text[:60], name) for text, name in said]
 
 
+def test_license_query_knows_all(spark, tmp_path):
+    mit = licence_texts()["MIT"]
+    said = [("SPDX-License-Identifier: ISC", "ISC"), ("ISC License", "ISC"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), (mit, "MIT"), ("Released under the MIT License.", "MIT"), ("SPDX-License-Identifier: Zlib", None), (None, None)]
+    rows = [(i, text, f"s{i}", "en") for i, (text, _) in enumerate(said)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.own_licence, r.score) for r in licenses.op6_license_scan(spark, str(tmp_path)).collect()}
+    assert [got[i][0] for i in range(len(said))] == [name for _, name in said]
+    assert got[0][1] == got[2][1] == 1000 and got[3][1] == 1000 and got[5][1] is None
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
