@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ BLANKS = "\t\n\x0b\x0c\r "
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["BLANKS", "BLANK_RUN", "ascii_lower", "documents", "hashed_windows", "read_table", "row_key", "small_batches", "shared_dir", "split_words", "stored", "union_length"]
+__all__ = ["BLANKS", "BLANK_RUN", "ascii_lower", "documents", "hashed_windows", "read_table", "row_key", "short_reads", "small_batches", "shared_dir", "split_words", "stored", "union_length"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +66,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many texts, and of 4 MB: some are very long."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Arrow batches of at most so many texts, and of 4 MB or `size`: some are very long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+@contextmanager
+def short_reads(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Parquet is read in batches of at most so many rows meanwhile: a batch of long texts or arrays is held as a whole."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    given = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(given), rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, given)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import ascii_lower, documents, hashed_windows, small_batches, split_words, stored
+from fieldloom.llm.common import ascii_lower, documents, hashed_windows, short_reads, small_batches, split_words, stored
 
 COORDINATES, DEPTH, LEAST, ROUNDS = 24, 3, 2, 2
 #: Of 128 cells, sets of similarity 0.8 differ in 24 on average; in more than MOST_CELLS in one of a million pairs.
@@ -230,6 +230,18 @@ def _long_list_pairs(lists: DataFrame, sets: Sets, percent: int) -> DataFrame:
     return members.unionByName(outside).groupBy("key", "i", "j").applyInArrow(_block_links(percent), "a long, b long, sure boolean")
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers from 0 for equal values, in 32 bits, and how many there are: as np.unique, in half its memory."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.zeros(len(values), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    del ranked
+    codes = np.empty(len(values), np.int32)
+    codes[order] = np.cumsum(new, dtype=np.int32)
+    return codes, int(new.sum()) + (len(values) > 0)
+
+
 def _block_links(percent: int):
     def run(table: pa.Table) -> pa.Table:
         out = np.asarray(table.column("out").combine_chunks())
@@ -238,12 +250,12 @@ def _block_links(percent: int):
         keys, cells = of("keys", COORDINATES), of("cells", FUNCTIONS // 16).view(np.uint64)
         held = table.column("shingles").combine_chunks()
         has, sizes = np.asarray(held.is_valid()), np.asarray(pc.fill_null(pc.list_value_length(held), 0)).astype(np.int64)
-        flat = np.asarray(held.flatten())
-        known, codes = np.unique(flat, return_inverse=True)
-        ends = np.cumsum(sizes)
-        m, mark, ones = np.flatnonzero(~out), np.zeros(len(known) + 1, bool), np.uint64(0x1111111111111111)
+        codes, known = _numbered(np.asarray(held.flatten()))
+        # Counts are sizes of sets at most, HELD_SHINGLES, and fit 16 bits.
+        m, mark, ones = np.flatnonzero(~out), np.zeros(known + 1, np.int16), np.uint64(0x1111111111111111)
         # Members' codes, each list closed by a code that none has, so that empty ones count 0.
-        closed = np.insert(codes, ends, len(known)) if len(doc) else codes
+        closed = np.insert(codes, np.cumsum(sizes), known) if len(doc) else codes
+        del codes, held
         starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         a, b, sure = [], [], []
         c = int(at[0])
@@ -259,10 +271,10 @@ def _block_links(percent: int):
                 continue
             tested = has[i] & has[x]
             if tested.any():
-                own = codes[ends[x] - sizes[x] : ends[x]]
-                mark[own] = True
-                common = np.add.reduceat(mark[closed].astype(np.int64), starts)[i]
-                mark[own] = False
+                own = closed[starts[x] : starts[x] + sizes[x]]
+                mark[own] = 1
+                common = np.add.reduceat(mark[closed], starts, dtype=np.int16)[i].astype(np.int64)
+                mark[own] = 0
                 i = i[~tested | (100 * common >= percent * (sizes[i] + sizes[x] - common))]
             a.append(np.minimum(doc[i], doc[x]))
             b.append(np.maximum(doc[i], doc[x]))
@@ -275,8 +287,12 @@ def _block_links(percent: int):
 
 def near_groups(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession, size="1m")
+    with short_reads(docs.sparkSession):
+        return _near_groups(docs, size, percent)
+
+
+def _near_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     signed = stored(docs.select("doc_id", "text").mapInArrow(_sign_batches(size), SIGNED), "signed")
     named = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "cells", "keys")).alias("r")).select("set_key", "r.*")

@@ -3,11 +3,13 @@
 import hashlib
 import os
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -212,6 +214,26 @@ def test_odd_rows(spark, odd):
     assert found[4] and found[5] and found[1] and not found[7] and not found[2]
 
 
+def test_minhash_block_memory():
+    rng = np.random.default_rng(3)
+    n, size = 300, 2000
+    base = rng.integers(-(2**63), 2**63 - 1, (3, size), dtype=np.int64)
+    sets = [np.unique(np.concatenate([base[k % 3][: size - (k % 40) * 20], rng.integers(-(2**63), 2**63 - 1, (k % 40) * 20, dtype=np.int64)])) for k in range(n)]
+    sets[7], sets[8] = sets[7][:0], None
+    keys, cells = [[5] * minhash.COORDINATES] * n, [[9] * (minhash.FUNCTIONS // 16)] * n
+    # The first key is the one of the list, so it agrees first in coordinate 0.
+    table = pa.table({"key": [5] * n, "c": pa.array([0] * n, pa.int32()), "doc": list(range(n)), "component": list(range(n)), "top": [-1] * n, "keys": pa.array(keys, pa.list_(pa.int64())), "cells": pa.array(cells, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.list_(pa.int64())), "out": [False] * n})
+    both = pa.concat_tables([table, table.set_column(table.column_names.index("out"), "out", pa.array([True] * n))])
+    tracemalloc.start()
+    found = minhash._block_links(80)(both)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    real = [set() if s is None else set(s.tolist()) for s in sets]
+    near = {(a, b) for a in range(n) for b in range(a + 1, n) if 8 in (a, b) or 100 * len(real[a] & real[b]) >= 80 * len(real[a] | real[b])}
+    assert set(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)) == near
+    assert peak < 3.5 * 8 * 2 * sum(map(len, real))
+
+
 def licence_texts() -> dict[str, str]:
     folder = os.path.join(os.path.dirname(licenses.__file__), "licences")
     return {f[:-4]: open(os.path.join(folder, f), encoding="utf-8").read() for f in sorted(os.listdir(folder))}
