@@ -50,7 +50,33 @@ def reduce_and(tests: list[Column]) -> Column:
 
 
 def distances(x: np.ndarray) -> np.ndarray:
-    return np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    step = max(1, (1 << 22) // max(1, x.size))  # differences of so many rows at once
+    return np.concatenate([np.sqrt(((x[i : i + step, None, :] - x[None, :, :]) ** 2).sum(axis=2)) for i in range(0, max(len(x), 1), step)])
+
+
+class Distances:
+    """Rows of the matrix of distances, made as they are asked for."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.q = np.ascontiguousarray(x), (x * x).sum(axis=1)
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.sqrt(((self.x - self.x[i]) ** 2).sum(axis=1))
+
+    def keep(self, places: np.ndarray) -> "Distances":
+        return Distances(self.x[places])
+
+    def closer(self, point: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places nearer to a point than given, and how near: a product rules out most, the rest go by differences."""
+        q = point @ point
+        bound = 8 * (len(point) + 2) * np.finfo(float).eps * (self.q.max() + q)
+        at = np.flatnonzero(~(self.q + q - 2 * (self.x @ point) > best * best + bound) & (best > -np.inf))
+        d = np.sqrt(((self.x[at] - point) ** 2).sum(axis=1))
+        on = d < best[at]
+        return at[on], d[on]
 
 
 def scaling(d: np.ndarray, k: int) -> np.ndarray:
@@ -61,6 +87,15 @@ def scaling(d: np.ndarray, k: int) -> np.ndarray:
     return vectors[:, ::-1][:, :k] * np.sqrt(np.maximum(values[::-1][:k], 0))
 
 
+def euclidean_scaling(x: np.ndarray, k: int) -> np.ndarray:
+    """The same of the rows' Euclidean distances, without these: the centred rows on their k main axes, of which the first nonzero weight is positive."""
+    u, size, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    signs = np.array([np.sign(a[np.flatnonzero(np.abs(a) > 1e-12)[0]]) if (np.abs(a) > 1e-12).any() else 1.0 for a in axes[:k]])
+    out = np.zeros((len(x), k))
+    out[:, : len(signs)] = u[:, :k] * size[:k] * signs
+    return out
+
+
 def _neighbours(d: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each row; ties by place."""
     own = d.copy()
@@ -137,17 +172,31 @@ def tsne(d: np.ndarray, k: int, perplexity: float, rounds: int = 400) -> np.ndar
     return y - y.mean(axis=0)
 
 
-def spanning_tree(d: np.ndarray) -> list[tuple[float, int, int]]:
+def spanning_tree(d: np.ndarray | Distances) -> list[tuple[float, int, int]]:
     """Edges (length, i, j) of the least spanning tree in ascending order; ties by ends."""
     n = len(d)
-    best, near, done, out = d[0].copy(), np.zeros(n, int), np.zeros(n, bool), []
-    done[0] = True
-    for _ in range(n - 1):
-        j = int(np.argmin(np.where(done, np.inf, best)))
-        out.append((float(best[j]), min(int(near[j]), j), max(int(near[j]), j)))
-        done[j] = True
-        closer = ~done & (d[j] < best)
-        best[closer], near[closer] = d[j][closer], j
+    left, near, out = np.arange(n), np.zeros(n, int), []
+    best = d[0].copy() if n else np.zeros(0)
+    rows, ruled = d, best.copy()  # ruled: what a row must undercut, nothing can once it is in the tree
+    best[:1], ruled[:1] = np.inf, -np.inf
+    for done in range(1, n):
+        m = int(np.argmin(best))
+        if best[m] == np.inf:  # no finite length is left
+            m = int(np.flatnonzero(ruled > -np.inf)[0])
+        j = int(left[m])
+        out.append((float(ruled[m]), min(int(near[m]), j), max(int(near[m]), j)))
+        best[m], ruled[m] = np.inf, -np.inf
+        if isinstance(rows, Distances):
+            at, length = rows.closer(d.x[j], ruled)
+        else:
+            at = np.flatnonzero(d[j][left] < ruled)
+            length = d[j][left[at]]
+        best[at] = ruled[at] = length
+        near[at] = j
+        if 2 * (n - 1 - done) < len(left):
+            on = np.flatnonzero(ruled > -np.inf)
+            left, near, best, ruled = left[on], near[on], best[on], ruled[on]
+            rows = rows.keep(on) if isinstance(rows, Distances) and len(on) else rows
     return sorted(out)
 
 
@@ -166,45 +215,61 @@ def _hull(p: np.ndarray) -> np.ndarray:
             line.append(q)
         return line
 
-    return np.array(half(order)[:-1] + half(order[::-1])[:-1])
+    corners = half(order.tolist())[:-1] + half(order[::-1].tolist())[:-1]
+    return np.array(corners) if corners else order[:1]
 
 
-def topomap(d: np.ndarray) -> np.ndarray:
+def topomap(d: np.ndarray | Distances) -> np.ndarray:
     """A plane layout in which components merge at the same lengths as in the given distances.
 
     Edges of the least spanning tree, in order, join two laid-out pieces: each is turned until a side of its hull lies
-    level, one below and one above, and they are set apart by the edge's length.
+    level, one below and one above, and they are set apart by the edge's length. Only hulls move; a piece's points, as
+    complex numbers, stay in a frame (turn, shift) of their own, into which those of a smaller piece go when it joins.
     """
     n = len(d)
-    at, piece = np.zeros((n, 2)), {i: [i] for i in range(n)}
-    of = list(range(n))
+    at, of = np.zeros(n, complex), list(range(n))
+    piece, hull, frame = {i: [i] for i in range(n)}, {i: np.zeros(1, complex) for i in range(n)}, {i: (1 + 0j, 0j) for i in range(n)}
 
-    def level(rows: list[int], anchor: int, above: bool) -> None:
+    def level(p: int, anchor: int, above: bool, shift: complex) -> None:
         """Turns the piece so that the hull side next to the anchor's nearest hull corner is level, the rest above or below."""
-        p = at[rows]
-        hull = _hull(p)
-        k = int(np.argmin(((hull - at[anchor]) ** 2).sum(axis=1)))
-        a, b = hull[k], hull[(k + 1) % len(hull)]
-        c, s = ((b - a) / np.linalg.norm(b - a)) if len(hull) > 1 and np.linalg.norm(b - a) > 0 else (1.0, 0.0)
-        turned = (p - a) @ np.array([[c, -s], [s, c]])
-        at[rows] = turned if above else -turned
+        (turn, by), corners = frame[p], hull[p]
+        k = int(np.argmin(np.abs(corners - (turn * at[anchor] + by)) ** 2))
+        a, b = corners[k], corners[(k + 1) % len(corners)]
+        w = np.conj(b - a) / abs(b - a) if b != a else 1 + 0j
+        w = w if above else -w
+        hull[p] = (corners - a) * w + shift
+        turn = turn * w
+        frame[p] = (turn / abs(turn), (by - a) * w + shift)
 
     for length, i, j in spanning_tree(d):
         a, b = of[i], of[j]
-        level(piece[a], i, True)
-        level(piece[b], j, False)
-        at[piece[a]] += (0, length)
-        piece[a] += piece.pop(b)
-        for x in piece[a]:
+        level(a, i, True, length * 1j)
+        level(b, j, False, 0j)
+        corners = np.concatenate([hull[a], hull[b]])
+        corners = _hull(np.column_stack([corners.real, corners.imag]))
+        if len(piece[a]) < len(piece[b]):
+            a, b = b, a
+        (turn, by), (turn_b, by_b) = frame[a], frame.pop(b)
+        moved = piece.pop(b)
+        at[moved] = (turn_b * at[moved] + by_b - by) * np.conj(turn)
+        for x in moved:
             of[x] = a
-    return at
+        piece[a] += moved
+        hull[a] = corners[:, 0] + 1j * corners[:, 1]
+        hull.pop(b)
+    for p, (turn, by) in frame.items():
+        at[piece[p]] = turn * at[piece[p]] + by
+    return np.column_stack([at.real, at.imag])
 
 
 METHODS = ("MDS", "IsoMap", "SE", "LLE", "t-SNE", "TopoMap")
 
 
 def reduce_dimension(df: DataFrame, key: str, vector: str, method: str, components: int = 2, neighbours: int = 5, perplexity: float = 20.0, by: str | None = None) -> DataFrame:
-    """(by, key, Component_0, ...): an embedding of the rows' vectors, all of a dataset in one task."""
+    """(by, key, Component_0, ...): an embedding of the rows' vectors, all of a dataset in one task.
+
+    MDS and TopoMap hold the vectors, not their distances; the others hold a number for each pair of a dataset.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     if method == "TopoMap" and components != 2:
@@ -212,9 +277,8 @@ def reduce_dimension(df: DataFrame, key: str, vector: str, method: str, componen
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
-        x = np.array([list(v) for v in pdf["v"]], float)
-        d = distances(x)
-        made = {"MDS": lambda: scaling(d, components), "IsoMap": lambda: isomap(d, components, neighbours), "SE": lambda: spectral(d, components, neighbours), "LLE": lambda: locally_linear(x, components, neighbours), "t-SNE": lambda: tsne(d, components, min(perplexity, max((len(x) - 1) / 3, 1))), "TopoMap": lambda: topomap(d)}[method]()
+        x = np.array(pdf["v"].tolist(), float)
+        made = {"MDS": lambda: euclidean_scaling(x, components), "IsoMap": lambda: isomap(distances(x), components, neighbours), "SE": lambda: spectral(distances(x), components, neighbours), "LLE": lambda: locally_linear(x, components, neighbours), "t-SNE": lambda: tsne(distances(x), components, min(perplexity, max((len(x) - 1) / 3, 1))), "TopoMap": lambda: topomap(Distances(x))}[method]()
         return pd.DataFrame({"g": pdf["g"], "k": pdf["k"], **{f"Component_{i}": made[:, i] for i in range(components)}})
 
     rows = df.select(F.col(by).cast("string").alias("g") if by else F.lit("").alias("g"), F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).where("v IS NOT NULL")

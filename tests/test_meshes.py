@@ -242,3 +242,13 @@ def test_depth_image_keeps_what_is_behind_the_camera(spark):
     assert len(seen) == 16 and seen[0, 0].Depth == pytest.approx(-0.5) and seen[3, 3].Depth == pytest.approx((3 - (5 - 35 * 0.75)) / 4)
     clipped = {(r.i, r.j) for r in geometry.depth_image(points, cells, **camera, clip=True).collect()}
     assert clipped == {p for p, r in seen.items() if 0 <= r.Depth <= 1}
+
+
+def test_scaling_without_a_matrix():
+    r = np.random.default_rng(9)
+    x = r.random((150, 6))
+    x[140:] = x[:10]
+    assert np.allclose(embedding.distances(embedding.euclidean_scaling(x, 2)), embedding.distances(embedding.scaling(embedding.distances(x), 2)))
+    assert np.allclose(embedding.euclidean_scaling(x[:2], 3)[:, 1:], 0)
+    wide = embedding.euclidean_scaling(r.random((20000, 3)), 2)  # a matrix of these takes 3.2 GB, their differences 9.6
+    assert wide.shape == (20000, 2) and wide[:, 0].std() >= wide[:, 1].std() > 0
