@@ -252,3 +252,17 @@ def test_scaling_without_a_matrix():
     assert np.allclose(embedding.euclidean_scaling(x[:2], 3)[:, 1:], 0)
     wide = embedding.euclidean_scaling(r.random((20000, 3)), 2)  # a matrix of these takes 3.2 GB, their differences 9.6
     assert wide.shape == (20000, 2) and wide[:, 0].std() >= wide[:, 1].std() > 0
+
+
+def test_topomap_without_a_matrix(monkeypatch):
+    r = np.random.default_rng(9)
+    x = r.random((150, 6))
+    x[140:] = x[:10]
+    d = embedding.distances(x)
+    monkeypatch.setattr(embedding, "distances", None)
+    rows = embedding.Distances(x)
+    assert embedding.spanning_tree(rows) == embedding.spanning_tree(d)
+    a = embedding.topomap(rows)
+    assert np.allclose(a, embedding.topomap(d))
+    gaps = np.sqrt(((a[:, None] - a[None]) ** 2).sum(axis=2))
+    assert np.allclose([e[0] for e in embedding.spanning_tree(gaps)], [e[0] for e in embedding.spanning_tree(d)])
