@@ -8,6 +8,7 @@ fixpoint is written to the shared folder, which cuts its lineage.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -220,15 +221,36 @@ def distance_field(points: DataFrame, edges: DataFrame, sources: list[int], leng
 def merge_points(points: DataFrame, radius: float, coordinates: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """(vid, representative): points closer than radius merged, transitively, into the least vid.
 
-    Points meet in cells of the radius's width and in the neighbouring ones, by equi-join.
+    All points of a cell whose diagonal is under the radius are merged, and two cells near each other need one pair of
+    points that are close, whatever number they hold: links grow as the points do, not as their pairs.
     """
-    cell = [F.floor(F.col(c) / radius).cast("long").alias(f"_{c}") for c in coordinates]
-    own = points.select("vid", *coordinates, *cell)
-    near = points.select(F.col("vid").alias("nvid"), *[F.col(c).alias(f"n{c}") for c in coordinates], *cell)
-    for c in coordinates:
-        near = near.withColumn(f"_{c}", F.explode(F.array(*[F.col(f"_{c}") + k for k in (-1, 0, 1)])))
-    gap = sum(((F.col(c) - F.col(f"n{c}")) ** 2 for c in coordinates), F.lit(0.0))
-    pairs = own.join(near, [f"_{c}" for c in coordinates]).where((F.col("vid") < F.col("nvid")) & (gap < radius * radius)).select("vid", "nvid")
-    found = components(points.select("vid"), pairs)
+    radius, n = abs(radius), len(coordinates)
+    if not radius:
+        return points.select("vid", F.col("vid").alias("representative"))
+    width = radius / n**0.5 * 0.999
+    finite = reduce(lambda a, b: a & b, [F.coalesce(F.abs(c) < float("inf"), F.lit(False)) for c in coordinates])
+    cell = [f"_{k}" for k in range(n)]
+    own = points.where(finite).select("vid", F.struct(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(coordinates)]).alias("x"))
+    own = own.withColumns({c: F.floor(F.col(f"x.x{k}") / width).cast("long") for k, c in enumerate(cell)})
+    cells = written(own.groupBy(*cell).agg(F.min("vid").alias("a"), F.collect_set("x").alias("p")), "cells")
+    inside = own.select("vid", *cell).join(cells.select(F.col("a").alias("nvid"), *cell), cell).where("vid <> nvid").select("vid", "nvid")
+    reach = int(radius / width) + 1
+    steps = [s for s in product(range(-reach, reach + 1), repeat=n) if s > (0,) * n and sum((max(abs(x) - 1, 0) * width) ** 2 for x in s) < radius * radius]
+    shift = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(cell, s, strict=True)]) for s in steps])).alias("s")
+    met = cells.select("a", *cell, shift).select("a", *[(F.col(c) + F.col(f"s.{c}")).alias(c) for c in cell])
+    met = met.join(cells.select(F.col("a").alias("b"), *cell), cell).select("a", "b")
+    side = lambda a, p: cells.select(F.col("a").alias(a), F.col("p").alias(p), F.struct(*cell).alias(f"c{a}"))
+    met = met.join(side("a", "p"), "a").join(side("b", "q"), "b")
+
+    def beside(x: Column, box: str) -> Column:
+        """Whether a point may be close to a point of a cell."""
+        rounding = lambda k: F.abs(x[f"x{k}"]) * 1e-14
+        gaps = [F.greatest(F.greatest(F.col(box)[c] * width - x[f"x{k}"], x[f"x{k}"] - (F.col(box)[c] + 1) * width) - rounding(k), F.lit(0.0)) for k, c in enumerate(cell)]
+        return sum((g * g for g in gaps), F.lit(0.0)) < radius * radius * (1 + 1e-9)
+
+    met = met.withColumns({"p": F.filter("p", lambda x: beside(x, "cb")), "q": F.filter("q", lambda x: beside(x, "ca"))})
+    gap = lambda x, y: sum(((x[f"x{k}"] - y[f"x{k}"]) ** 2 for k in range(n)), F.lit(0.0))
+    across = met.where(F.exists("p", lambda x: F.exists("q", lambda y: gap(x, y) < radius * radius))).select(F.col("a").alias("vid"), F.col("b").alias("nvid"))
+    found = components(points.select("vid"), inside.unionByName(across))
     least = found.groupBy("ComponentId").agg(F.min("vid").alias("representative"))
     return found.join(least, "ComponentId").select("vid", "representative")

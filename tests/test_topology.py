@@ -95,3 +95,24 @@ def test_components_of_any_length(spark):
 def test_merge_points_along_a_line(spark):
     points = spark.createDataFrame([(i, 0.9 * i, 0.0, 0.0) for i in range(150)], "vid long, x double, y double, z double")
     assert {r.representative for r in mesh.merge_points(points, 1.0).collect()} == {0}
+
+
+def test_merge_points_links_grow_with_the_points(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = np.round(r.random((400, 3)) * (6, 6, 1), 2)
+    x[300:, :] = (50, 50, 50)  # copies
+    x[0] = (np.nan, 0, 0)
+    x[1] = (np.inf, 0, 0)
+    x[2] = (np.inf, 0, 0)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "vid long, x double, y double, z double")
+    sent, components = [], mesh.components
+    monkeypatch.setattr(mesh, "components", lambda ids, edges: sent.append(edges.count()) or components(ids, edges))
+    for radius in (0.4, 0.55, 1.0, 20.0):
+        label = list(range(400))
+        for _ in range(400):
+            new = [min(label[j] for j in range(400) if j == i or ((x[i] - x[j]) ** 2).sum() < radius * radius) for i in range(400)]
+            if new == label:
+                break
+            label = new
+        assert {q.vid: q.representative for q in mesh.merge_points(df, radius).collect()} == dict(enumerate(label))
+    assert sent[-1] <= 400  # one cell holds most points, whose pairs are 44,000
